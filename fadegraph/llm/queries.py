@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fadegraph.llm import cooccurrence, distinctive, format_dups, survivorship
+from fadegraph.llm import cooccurrence, distinctive, format_dups, mixture, survivorship, tokens
 from fadegraph.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,37 @@ def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.weights(table(spark, sf_dir, "hdc_records")).withColumn("weight", F.round("weight", 6))
 
 
+@query
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document."""
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document decoded from its ids, compared with its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = tokens.decode(tokens.encode(docs)).withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id", "full").select("doc_id", F.coalesce(F.col("text") == F.col("decoded"), F.lit(False)).alias("same"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return mixture.mixture(counts, table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixed(spark, sf_dir)
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens each source reached."""
+    return mixture.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 _TAGS = r"""
 WITH b AS (
   SELECT DISTINCT node_id, regexp_replace(lower(t), '^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$', '', 'g') AS tag
@@ -128,7 +159,7 @@ _WRITTEN = r"""
 WITH k AS (
   SELECT 'triplets' AS tbl, triplet_id AS id, concat_ws(chr(1), {t}) AS k FROM triplets
   UNION ALL SELECT 'llm_triplets', triplet_id, concat_ws(chr(1), {l}) FROM llm_triplets
-  UNION ALL SELECT 'llm_raw', raw_id, concat_ws(chr(1), {r}, coalesce(CAST(TRY_CAST(m['confidence'][1] AS DOUBLE) AS VARCHAR), ''))
+  UNION ALL SELECT 'llm_raw', raw_id, concat_ws(chr(1), {r}, coalesce(CAST(TRY_CAST(m['confidence'] AS DOUBLE) AS VARCHAR), ''))
     FROM (SELECT raw_id, map_from_entries(list_transform(json_keys(payload), lambda x: (lower(x), json_extract_string(payload, '$."' || x || '"')))) AS m
           FROM llm_raw WHERE json_valid(payload))
 ), g AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, k) AS keep, count(*) OVER (PARTITION BY tbl, k) AS n FROM k)
@@ -137,7 +168,7 @@ WITH k AS (
         n: ", ".join(rf"lower(regexp_replace(coalesce({c}, ''), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'))" for c in cols)
         for n, cols in {
             "t": ["workspace", "subject", "object", "channel"], "l": ["workspace", "subject", "relation", "object"],
-            "r": ["m['subject'][1]", "m['relation'][1]", "m['object'][1]"],
+            "r": ["m['subject']", "m['relation']", "m['object']"],
         }.items()
     }
 )
@@ -159,6 +190,7 @@ FROM w WHERE rn = 1 GROUP BY group_ord""",
   SELECT rec_id, term, tf * (ln((SELECT count(*) FROM d) / (st.d + 1)) + 1) AS w FROM tf JOIN st USING (term)
 ), r AS (SELECT *, row_number() OVER o AS rn, lead(w) OVER o AS nx FROM w WINDOW o AS (PARTITION BY rec_id ORDER BY w DESC, term))
 SELECT rec_id, term FROM r WHERE rn = 1 AND (nx IS NULL OR w - nx > 1e-9)""",
+    "p8_round_trip": "SELECT doc_id, TRUE AS same FROM documents",
     "p7_log_odds": _TERMS + """, s AS (SELECT rec_id, sum(tf) AS sz FROM tf GROUP BY rec_id),
 n AS (SELECT sum(c) AS n FROM st),
 x AS (SELECT rec_id, term, sz, n, tf + 1000.0 * c / n AS i, c - tf + 1000.0 * c / n AS j FROM tf JOIN st USING (term) JOIN s USING (rec_id), n)
