@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fadegraph.llm import cooccurrence, distinctive, format_dups, mixture, survivorship, tokens
+from fadegraph.llm import cooccurrence, distinctive, format_dups, mixture, neighbours, survivorship, tokens
 from fadegraph.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def p1_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of a map with a cosine of 0.9 or more, one among the other's five most similar."""
+    near = neighbours.most_similar(table(spark, sf_dir, "hdc_vectors"), "vec_id", "vspace", "vec", "n_dim", 5, 0.9)
+    return neighbours.pairs(near)
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row each field of each duplicate edge survives from."""
