@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fadegraph.llm import cooccurrence, distinctive, format_dups, mixture, neighbours, survivorship, tokens
+from fadegraph.llm import cooccurrence, distinctive, format_dups, mixture, names, neighbours, survivorship, tokens
 from fadegraph.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,26 @@ def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.golden(table(spark, sf_dir, "edges"))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "llm_triplets")
+    every = table(spark, sf_dir, "nodes").select(F.col("label").alias("name")).unionByName(
+        t.select(F.explode(F.array("subject", "object")).alias("name"))
+    )
+    return names.entities(every, table(spark, sf_dir, "name_forms"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of the same person or organisation."""
+    return names.pairs(_named(spark, sf_dir))
+
+
+@query
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of a name with the canonical form it belongs to."""
+    return _named(spark, sf_dir)
+
+
 def _formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "triplets")
     l = table(spark, sf_dir, "llm_triplets")  # noqa: E741
