@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fadegraph.llm import cooccurrence, distinctive, format_dups, mixture, names, neighbours, survivorship, tokens
+from fadegraph.llm import cooccurrence, distinctive, format_dups, mixture, names, neighbours, residue, survivorship, tokens
 from fadegraph.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,25 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are template residue, filler, error pages or script notices."""
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query
+def p10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring messages with the number of their occurrences and sources."""
+    return residue.messages(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that remain when residue is left out."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(residue.residue(docs).select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
+
+
 _TAGS = r"""
 WITH b AS (
   SELECT DISTINCT node_id, regexp_replace(lower(t), '^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$', '', 'g') AS tag
