@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 
 from fadegraph.sources import materialise
 
-SAMPLE, LEAF, MAX_LEAVES, SPILL = 20_000, 400, 8_192, 8
+SAMPLE, LEAF, MAX_LEAVES, SPILL = 16_384, 400, 8_192, 8
 CENTRES, SUB = 16, 2
 SLACK, QUERY_BLOCK, ANISOTROPY_T = 0.15, 2_048, 0.2
 POINTS = "id bigint, space string, leaf int, spill array<int>, code binary, unit array<float>"
@@ -196,17 +196,17 @@ def most_similar(df: DataFrame, vec_id: str, space: str, vec: str, n_dim: str, k
     spark = df.sparkSession
     rows = usable(df.filter(F.col(vec_id).isNotNull() & F.col(space).isNotNull()), vec, n_dim).select(
         F.col(vec_id).alias("id"), F.col(space).alias("space"), "unit",
-        F.md5(F.to_json(F.transform("unit", lambda x: F.round(x, 6) + 0.0))).alias("point"),
-    )
+        F.transform("unit", lambda x: F.round(x * 1e6).cast("int")).alias("six"),
+    ).withColumn("point", F.struct(F.xxhash64("six"), F.xxhash64(F.lit(7), "six"), F.size("six"))).drop("six")
     by_id = W.partitionBy("space", "point").orderBy("id")
-    rows = rows.dropDuplicates(["space", "id"]).withColumn("point", F.concat_ws(":", F.size("unit"), "point"))
+    rows = rows.dropDuplicates(["space", "id"])
     placed = materialise(rows.withColumn("rn", F.row_number().over(by_id)).filter(F.col("rn") <= k + 1), "points")
     stats = placed.groupBy("space").agg(F.count("*").alias("n"), F.max(F.size("unit")).alias("dim")).collect()
     models = {}
     for s in stats:
         some = (
             placed.filter((F.col("space") == s.space) & (F.size("unit") == s.dim))
-            .orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").toPandas()
+            .orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.col("unit").cast("array<float>").alias("unit")).toPandas()
         )
         x = np.stack(some["unit"].to_numpy()).astype(np.float32)
         models[s.space] = fit(x, int(np.clip(s.n // LEAF, 1, MAX_LEAVES)))
