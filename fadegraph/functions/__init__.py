@@ -1 +1 @@
-
+"""Column expressions: channels, decay, identities, text and vectors."""
