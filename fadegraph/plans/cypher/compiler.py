@@ -132,12 +132,13 @@ def _match(g: _Graph, paths: list) -> tuple[DataFrame, set[str]]:
             if j < i:
                 rel = Rel(rel.var, rel.type, rel.low, rel.high, {"out": "in", "in": "out"}.get(rel.direction, "both"), rel.props)
             starts = rows.select(F.col(f"{names[i]}.node_id").alias("node")).distinct() if rel.high > 1 or rel.low > 1 else None
-            step = _steps(g, rel, starts).select("a", "b", *([F.col("r").alias(rel.var)] if rel.var else []))
-            rows = rows.join(step, F.col(f"{names[i]}.node_id") == F.col("a")).drop("a")
+            step = _steps(g, rel, starts).select(
+                F.col("a").alias("_from"), F.col("b").alias("_to"), *([F.col("r").alias(rel.var)] if rel.var else []))
+            rows = rows.join(step, F.col(f"{names[i]}.node_id") == F.col("_from")).drop("_from")
             if names[j] in bound:
-                rows = rows.filter(F.col(f"{names[j]}.node_id") == F.col("b")).filter(_fits(F.col(names[j]), path[2 * j], g.strict)).drop("b")
+                rows = rows.filter(F.col(f"{names[j]}.node_id") == F.col("_to")).filter(_fits(F.col(names[j]), path[2 * j], g.strict)).drop("_to")
             else:
-                rows = rows.join(candidates(path[2 * j], names[j]), F.col("b") == F.col(f"{names[j]}.node_id")).drop("b")
+                rows = rows.join(candidates(path[2 * j], names[j]), F.col("_to") == F.col(f"{names[j]}.node_id")).drop("_to")
                 bound.add(names[j])
     return rows, rels
 
