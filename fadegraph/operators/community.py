@@ -50,7 +50,8 @@ def local_moving(edges: DataFrame, gamma: float = 2.0, most_rounds: int = 40, as
     quiet = 0
     for turn in range(most_rounds):
         sigma = comm.groupBy("community").agg(F.sum("k").alias("sigma"))
-        free = comm.filter(F.pmod(F.xxhash64("node"), F.lit(TURNS)) == turn % TURNS)
+        # dealt anew in each cycle, so that neighbours do not stay in one turn and swap
+        free = comm.filter(F.pmod(F.xxhash64("node", F.lit(turn // TURNS)), F.lit(TURNS)) == turn % TURNS)
         links = (
             adj.join(free.select(F.col("node").alias("a"), "k", F.col("community").alias("own")), "a")
             .join(comm.select(F.col("node").alias("b"), F.col("community").alias("to")), "b")
@@ -74,7 +75,7 @@ def local_moving(edges: DataFrame, gamma: float = 2.0, most_rounds: int = 40, as
         )
         quiet = 0 if moved.filter("moved").limit(1).count() else quiet + 1
         comm = moved.drop("moved")
-        if quiet == TURNS:
+        if quiet == 2 * TURNS - 1:  # a whole cycle without a move
             break
     return comm.select("node", "community")
 
