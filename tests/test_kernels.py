@@ -86,7 +86,7 @@ def test_patterns(spark):
     assert ("EGFP", "a fluorescent protein"[2:], "trail") in found("EGFP is a fluorescent protein.")
     assert ("ChromoQ", "EGFP", "derives_de") in found("ChromoQ derives from EGFP")
     assert ("Heat", "denaturation", "causal") in found("Heat causes denaturation")
-    assert ("ChromoQ", "acid", "alarm") in found("AVOID ChromoQ with acid")
+    assert ("mixture A", "strong acid", "alarm") in found("AVOID combining mixture A with strong acid")
     assert ("X1", "WARNING", "alarm") in found("ÉVITER X1")
     assert ("A", "B", "derives_de") in found("A replaces B")
     assert ("Foo", "Bar", "trail") in found("Foo uses Bar")
