@@ -10,7 +10,7 @@ border and where such a run began.
 
 Defined cases: null and empty fields are alike; records with only empty fields
 equal each other; a record with null id is left out; payloads that are not
-complete JSON equal nothing; repeated rows with the same id are one record; an
+a complete JSON object equal nothing; repeated rows with the same id are one record; an
 empty table gives no rows; further columns are ignored.
 """
 from __future__ import annotations
@@ -41,7 +41,7 @@ def canonical(df: DataFrame, tbl: str, id_col: str, fields: list[str | Column])
 def canonical_json(df: DataFrame, tbl: str, id_col: str, payload: str) -> DataFrame:
     """The same of JSON objects with subject, relation, object and confidence, keys in any case and order."""
     fields = df.select(
-        F.col(id_col), F.expr(f"cast(try_parse_json({payload}) as map<string,string>)").alias("_m")
+        F.col(id_col), F.expr(f"try_variant_get(try_parse_json({payload}), '$', 'map<string,string>')").alias("_m")
     ).filter("_m IS NOT NULL").select(
         id_col, F.map_from_arrays(F.array_distinct(F.transform(F.map_keys("_m"), F.lower)),
                                   F.transform(F.array_distinct(F.transform(F.map_keys("_m"), F.lower)),
