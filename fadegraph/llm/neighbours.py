@@ -10,8 +10,8 @@ nearest leaf and scans the codes there by table lookup (the tables of a block of
 queries are applied at once, as a product with the decoded centres, which gives
 the same sums).  What reaches the threshold is reranked by exact cosine.
 
-Model and leaves are fit on a sample of at most ``SAMPLE`` vectors a space, the
-ones of smallest hash.  Every vector is indexed and every vector is a query.  The
+Model and leaves are fit on a sample of at most ``SAMPLE`` vectors a space,
+a share by hash.  Every vector is indexed and every vector is a query.  The
 number of leaves follows the number of vectors (about ``LEAF`` a leaf, at most
 ``MAX_LEAVES``, so the broadcast model stays under 4 MB a space); beyond that
 leaves grow and are still scanned whole, in blocks.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,7 +43,7 @@ from fadegraph.sources import materialise
 SAMPLE, LEAF, MAX_LEAVES, SPILL = 16_384, 400, 8_192, 8
 CENTRES, SUB = 16, 2
 SLACK, QUERY_BLOCK, ANISOTROPY_T = 0.15, 2_048, 0.2
-POINTS = "id bigint, space string, leaf int, spill array<int>, code binary, unit array<float>"
+POINTS = "id bigint, space string, leaf int, spill array<int>, code binary, v array<float>"
 
 
 def eta(dim: int, t: float = ANISOTROPY_T) -> float:
@@ -138,31 +138,43 @@ def _padded(x: np.ndarray, m: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, vec: str, n_dim: str) -> DataFrame:
-    """Rows with a usable vector, and the vector at length one as ``unit``."""
+    """Rows with a usable vector: ``v`` and its length ``norm``."""
     v = F.col(vec)
     square = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return (
         df.filter(v.isNotNull() & (F.size(v) == F.col(n_dim)) & (F.size(v) > 0))
-        .withColumn("_sq", square)
-        .filter(F.col("_sq").isNotNull() & ~F.isnan("_sq") & (F.col("_sq") > 0) & (F.col("_sq") < float("inf")))
-        .withColumn("unit", F.transform(v, lambda x: x.cast("double") / F.sqrt("_sq")))
-        .drop("_sq")
+        .withColumns({"v": v.cast("array<float>"), "norm": F.sqrt(square)})
+        .filter(F.col("norm").isNotNull() & ~F.isnan("norm") & (F.col("norm") > 0) & (F.col("norm") < float("inf")))
     )
 
 
+def _six_digits(v: str, norm: str) -> Column:
+    """A vector at length one, in whole millionths.
+
+    The length goes through a struct: inlined into the lambda it would be computed for each element.
+    """
+    one = F.array(F.struct(F.col(v).alias("v"), F.col(norm).alias("n")))
+    return F.transform(one, lambda s: F.transform(s["v"], lambda x: F.round(x.cast("double") / s["n"] * 1e6).cast("int")))[0]
+
+
+def _units(frame: pd.DataFrame) -> np.ndarray:
+    x = np.stack(frame["v"].to_numpy()).astype(np.float32)
+    return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+
+
 def _index(models):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for space, g in f.groupby("space"):
                 centres, book = models.value[space]
-                x = np.stack(g["unit"].to_numpy()).astype(np.float32)
+                x = _units(g)
                 score = x @ centres.T
                 k = min(SPILL, score.shape[1])
                 top = np.argpartition(-score, k - 1, 1)[:, :k]
                 codes = encode(_padded(x, len(book)), book)
                 yield pd.DataFrame({
                     "id": g["id"].to_numpy(), "space": space, "leaf": score.argmax(1).astype(np.int32),
-                    "spill": list(top.astype(np.int32)), "code": _pack(codes), "unit": list(x),
+                    "spill": list(top.astype(np.int32)), "code": _pack(codes), "v": list(x),
                 })
 
     return run
@@ -174,7 +186,7 @@ def _scan(models, k: int, min_score: float):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         book = models.value[queries["space"].iloc[0]][1]
         x = _decoded(_unpack(list(codes["c_code"]), len(book)), book)
-        q = _padded(np.stack(queries["unit"].to_numpy()).astype(np.float32), len(book))
+        q = _padded(np.stack(queries["v"].to_numpy()).astype(np.float32), len(book))
         qi, ci = queries["id"].to_numpy(), codes["c_id"].to_numpy()
         out = []
         for s in range(0, len(q), 256):
@@ -195,28 +207,29 @@ def most_similar(df: DataFrame, vec_id: str, space: str, vec: str, n_dim: str, k
     """(id, other, score, place): the k most similar of every vector with at least ``min_score``, place from 1."""
     spark = df.sparkSession
     rows = usable(df.filter(F.col(vec_id).isNotNull() & F.col(space).isNotNull()), vec, n_dim).select(
-        F.col(vec_id).alias("id"), F.col(space).alias("space"), "unit",
-        F.transform("unit", lambda x: F.round(x * 1e6).cast("int")).alias("six"),
-    ).withColumn("point", F.struct(F.xxhash64("six"), F.xxhash64(F.lit(7), "six"), F.size("six"))).drop("six")
+        F.col(vec_id).alias("id"), F.col(space).alias("space"), "v", "norm", _six_digits("v", "norm").alias("six")
+    )
+    rows = rows.withColumn("point", F.struct(F.xxhash64("six"), F.xxhash64(F.lit(7), "six"), F.size("six"))).drop("six")
+    rows = materialise(rows.dropDuplicates(["space", "id"]), "vectors")
     by_id = W.partitionBy("space", "point").orderBy("id")
-    rows = rows.dropDuplicates(["space", "id"])
     placed = materialise(rows.withColumn("rn", F.row_number().over(by_id)).filter(F.col("rn") <= k + 1), "points")
-    stats = placed.groupBy("space").agg(F.count("*").alias("n"), F.max(F.size("unit")).alias("dim")).collect()
+    stats = placed.groupBy("space").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).collect()
     models = {}
     for s in stats:
-        some = (
-            placed.filter((F.col("space") == s.space) & (F.size("unit") == s.dim))
-            .orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.col("unit").cast("array<float>").alias("unit")).toPandas()
-        )
-        x = np.stack(some["unit"].to_numpy()).astype(np.float32)
+        # a share of all by hash that holds SAMPLE at most, but for chance; the limit makes it sure
+        share = min(1.0, 0.97 * SAMPLE / s.n)
+        some = placed.filter(
+            (F.col("space") == s.space) & (F.size("v") == s.dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        ).limit(SAMPLE).select("id", "v").toPandas().sort_values("id")
+        x = _units(some) if len(some) else np.eye(s.dim, dtype=np.float32)
         models[s.space] = fit(x, int(np.clip(s.n // LEAF, 1, MAX_LEAVES)))
     shared = spark.sparkContext.broadcast(models)
-    index = materialise(placed.select("id", "space", "unit").mapInPandas(_index(shared), POINTS), "index")
+    index = materialise(placed.select("id", "space", "v").mapInPandas(_index(shared), POINTS), "index")
 
     # queries of a leaf in blocks of bounded size; the codes of a leaf go to each of its blocks
     sizes = index.groupBy("space", "leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     queries = index.join(sizes, ["space", "leaf"]).select(
-        "id", "space", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "unit"
+        "id", "space", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "v"
     )
     codes = (
         index.select("id", "space", F.explode("spill").alias("leaf"), "code").join(sizes, ["space", "leaf"])
@@ -230,12 +243,10 @@ def most_similar(df: DataFrame, vec_id: str, space: str, vec: str, n_dim: str, k
         queries.groupBy(*keys).cogroup(codes.groupBy(*(f"c_{c}" for c in keys)))
         .applyInPandas(_scan(shared, k, min_score), "a bigint, b bigint").distinct()
     )
-    x = placed.select(F.col("id").alias("a"), F.col("unit").alias("ua"))
-    y = placed.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
-    exact = found.join(x, "a").join(y, "b").select(
-        "a", "b",
-        F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v).alias("score"),
-    ).filter(F.col("score") >= min_score)
+    x = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
+    y = placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    exact = found.join(x, "a").join(y, "b").select("a", "b", (dot / (F.col("na") * F.col("nb"))).alias("score")).filter(F.col("score") >= min_score)
     exact = materialise(exact, "pairs")
     sides = exact.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(
         exact.select(F.col("b").alias("id"), F.col("a").alias("other"), "score")
@@ -243,7 +254,7 @@ def most_similar(df: DataFrame, vec_id: str, space: str, vec: str, n_dim: str, k
     best = W.partitionBy("id").orderBy(F.desc("score"), "other")
     near = sides.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     # copies beyond the first k + 1 of a point: the point's first k ids, at score one
-    late = rows.withColumn("rn", F.row_number().over(by_id)).filter(F.col("rn") > k + 1).select("id", "space", "point")
+    late = rows.select("id", "space", "point").join(placed.select("space", "id"), ["space", "id"], "left_anti")
     head = placed.filter(F.col("rn") <= k).select("space", "point", F.col("id").alias("other"), F.col("rn").alias("place"))
     copies = late.join(head, ["space", "point"]).select("id", "other", F.lit(1.0).alias("score"), "place")
     return near.unionByName(copies)
