@@ -150,3 +150,14 @@ def apply_upserts(edges: DataFrame, upserted: DataFrame) -> DataFrame:
         (F.coalesce("uses", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("uses"),
         *(F.col(c) for c in edges.columns if c not in (*keys, "intensity", "confidence", "last_touch", "uses")),
     )
+
+
+def set_touch(edges: DataFrame, source: str, when: str) -> DataFrame:
+    """Edges of one source with their last touch set."""
+    return edges.withColumn("last_touch", F.when(F.col("source") == source, exprs.ts(when)).otherwise(F.col("last_touch")))
+
+
+def between(nodes: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(channel, confidence, uses) of the edges between two labels, whatever the channel."""
+    end = lambda c, label: nodes.filter(F.col("label") == label).select(F.col("node_id").alias(c))
+    return edges.join(end("src", src), "src", "left_semi").join(end("dst", dst), "dst", "left_semi").select("channel", "confidence", "uses")

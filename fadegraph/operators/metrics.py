@@ -53,3 +53,11 @@ def temporal_accuracy(rows: DataFrame) -> DataFrame:
     judged = rows.filter("recent IS NOT NULL OR stale IS NOT NULL")
     right = F.col("recent").isNotNull() & (F.col("stale").isNull() | (F.col("recent") < F.col("stale")))
     return judged.agg(F.coalesce(F.avg(right.cast("double")), F.lit(0.0)).alias("accuracy"), F.count("*").alias("n"))
+
+
+def report(rows: DataFrame, by: str = "preset") -> DataFrame:
+    """Means per preset or suite of recall, f1, reciprocal rank and latency; ``rows`` has one row a question."""
+    return rows.groupBy(by).agg(
+        F.count("*").alias("questions"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+        F.avg(F.when(F.col("rank").isNull(), 0.0).otherwise(1.0 / (F.col("rank") + 1))).alias("mrr"), F.avg("latency").alias("latency"),
+    )

@@ -246,3 +246,18 @@ def code_symbols(files: DataFrame, path: str = "path", text: str = "text") -> tu
     used = items.select(F.col("name").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\b([A-Z]\w+)"), F.lit(1)))).alias("name"))
     uses = used.join(names.filter("k in ('struct', 'enum', 'trait')"), "name").filter("src <> name").select("src", F.col("name").alias("dst"), F.lit("trail").alias("channel"), F.lit(USES_TYPE).alias("confidence"), F.lit("uses_type").alias("label"))
     return symbols, contains.unionByName(implements).unionByName(calls).unionByName(uses)
+
+
+def gold_entities(title: str | None, answer: str | None, body: str | None) -> list[str]:
+    """What a supporting paragraph is about: its title, an answer under 100 bytes, and its capitalised runs."""
+    parts = [title or "", answer if answer and len(answer.encode()) < 100 else "", *named_entities(body)]
+    return list({p.lower(): p for p in reversed(parts) if p.strip()}.values())[::-1]
+
+
+def link_titles(paragraphs: DataFrame) -> DataFrame:
+    """(a, b): titles that share a named entity, whatever its case; ``paragraphs`` has title and text.
+
+    Pairs come from an equality join on entities; an entity's titles are distinct.
+    """
+    e = paragraphs.select("title", F.explode(ner("text")).alias("e")).select("title", F.lower("e").alias("e")).distinct()
+    return e.select(F.col("title").alias("a"), "e").join(e.select(F.col("title").alias("b"), "e"), "e").filter("a < b").select("a", "b").distinct()

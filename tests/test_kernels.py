@@ -148,3 +148,18 @@ def test_code_symbols(spark):
     assert {(r.kind, r.name) for r in symbols.collect()} == {("struct", "Foo"), ("trait", "Bar"), ("fn", "a"), ("fn", "b")}
     e = {(r.src, r.dst, r.label) for r in edges.collect()}
     assert {("a", "b", "calls"), ("Foo", "Bar", "implements"), ("b", "Foo", "uses_type"), ("x.rs", "a", "contains")} <= e
+
+
+def test_sql_functions(spark):
+    from fadegraph.functions.sql import register
+
+    register(spark)
+    r = spark.sql("""SELECT kg_node_id('ws', 'Café x') AS i, kg_eff(1D, 'episodic', TIMESTAMP_NTZ '2024-01-01', TIMESTAMP_NTZ '2024-01-02') AS e,
+      kg_fuzzy('Spéléologie', 'speleo') AS f, kg_cosine(array(1D, 0D), array(1D, 1D)) AS c""").first()
+    assert r.i == str(uuid.uuid5(uuid.NAMESPACE_OID, "ws:Café x")) and r.e == pytest.approx(math.exp(-1.2)) and r.f == 0.85 and r.c == pytest.approx(0.5**0.5)
+
+
+def test_gold_and_links(spark):
+    assert text.gold_entities("Title", "x", "we met Marie Curie there") == ["Title", "x", "Marie Curie"]
+    df = spark.createDataFrame([("A", "we met Marie Curie"), ("B", "saw Marie Curie"), ("C", "no one")], "title string, text string")
+    assert [(r.a, r.b) for r in text.link_titles(df).collect()] == [("A", "B")]
