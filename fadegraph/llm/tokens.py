@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,7 +47,6 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=2)
 def _encoding(path: str):
     import tiktoken
 
@@ -63,8 +61,8 @@ def pre_tokens(text: Column) -> Column:
 
 def _encode(path: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(path)._encode_single_piece
-        known = _encoding(path)._mergeable_ranks
+        encoding = _encoding(path)
+        encode, known = encoding._encode_single_piece, encoding._mergeable_ranks
         for f in frames:
             out = []
             for w in f["word"]:
