@@ -21,6 +21,17 @@ def entity_recall(found: Column, gold: Column, k: int) -> Column:
     return F.struct(F.when(total > 0, hits / total).otherwise(0.0).alias("recall"), hits.alias("hits"), total.alias("total"))
 
 
+def recall_by(found: DataFrame, gold: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, recall, hits, total) of groups with results and gold; ``found`` has by, place (from 1) and label, ``gold`` by and wanted.
+
+    Each wanted entity is judged in its own row, so a group's gold is never gathered; its results are only as far as ``k``.
+    """
+    top = found.filter(F.col("place") <= k).groupBy(by).agg(F.collect_list("label").alias("top"))
+    judged = gold.filter("wanted IS NOT NULL").select(by, "wanted").distinct().join(top, by).withColumn(
+        "hit", F.coalesce(F.exists("top", lambda f: hit(f, F.col("wanted"))), F.lit(False)).cast("int"))
+    return judged.groupBy(by).agg(F.avg("hit").alias("recall"), F.sum("hit").cast("int").alias("hits"), F.count("*").cast("int").alias("total"))
+
+
 def path_recall(found: Column, chain: Column) -> Column:
     """Share of a chain's links among the results."""
     hits = F.size(F.filter(chain, lambda c: F.exists(found, lambda f: hit(f, c))))

@@ -163,3 +163,14 @@ def test_gold_and_links(spark):
     assert text.gold_entities("Title", "x", "we met Marie Curie there") == ["Title", "x", "Marie Curie"]
     df = spark.createDataFrame([("A", "we met Marie Curie"), ("B", "saw Marie Curie"), ("C", "no one")], "title string, text string")
     assert [(r.a, r.b) for r in text.link_titles(df).collect()] == [("A", "B")]
+
+
+def test_recall_takes_all_gold(spark, monkeypatch):
+    from fadegraph.plans import search_queries
+
+    nodes = spark.createDataFrame([("w", i, f"label{i:02}") for i in range(50)], "workspace string, ord bigint, label string")
+    subjects = ["label03", "LABEL19", "label20", "absent", None, "label03", "label05", "label45", "zzz"]  # ids 1 to 9; 7 is one of them
+    triplets = spark.createDataFrame([(i, "w", x) for i, x in enumerate(subjects, 1)], "triplet_id bigint, workspace string, subject string")
+    monkeypatch.setattr(search_queries, "kg_nodes", lambda *_: nodes)
+    monkeypatch.setattr(search_queries, "table", lambda *_: triplets)
+    assert [tuple(r) for r in search_queries.recall_at_k(spark, "").collect()] == [("w", round(3 / 7, 6), 3, 7)]
