@@ -7,6 +7,8 @@ component is ever gathered in one task.  Ties go to the smaller community id.
 """
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +43,19 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return label
 
 
-def local_moving(edges: DataFrame, gamma: float = 2.0, most_rounds: int = 40, as_of: str = AS_OF) -> DataFrame:
-    """(node, community); gamma 1 is the textbook resolution."""
+def local_moving(edges: DataFrame, gamma: float = 2.0, most_rounds: int | None = None, as_of: str = AS_OF) -> DataFrame:
+    """(node, community) once a whole cycle of rounds moves no node; gamma 1 is the textbook resolution.
+
+    With ``most_rounds`` it is an error if nodes still move after so many.
+    """
     adj = materialise(undirected(edges, as_of).groupBy("a", "b").agg(F.sum("w").alias("w")), "adjacent")
     strength = materialise(adj.groupBy("a").agg(F.sum("w").alias("k")), "strength")
     twice = strength.agg(F.sum("k")).scalar()
     comm = materialise(strength.select(F.col("a").alias("node"), "k", F.col("a").alias("community")), "community")
     quiet = 0
-    for turn in range(most_rounds):
+    for turn in count():
+        if turn == most_rounds:
+            raise RuntimeError(f"communities have not settled after {most_rounds} rounds")
         sigma = comm.groupBy("community").agg(F.sum("k").alias("sigma"))
         # dealt anew in each cycle, so that neighbours do not stay in one turn and swap
         free = comm.filter(F.pmod(F.xxhash64("node", F.lit(turn // TURNS)), F.lit(TURNS)) == turn % TURNS)

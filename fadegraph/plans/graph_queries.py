@@ -321,8 +321,8 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities by local moving."""
-    return community.local_moving(kg_edges(spark, d), most_rounds=12)
+    """Communities by local moving, until no node moves."""
+    return community.local_moving(kg_edges(spark, d))
 
 
 @query(f"""WITH {EDGES}, n AS (SELECT src, dst, channel, row_number() OVER (ORDER BY ord) AS i FROM kg_edges)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fadegraph.engine import Engine
 from fadegraph.operators import changefeed, community, rank, traverse
+from fadegraph.operators.graph import AS_OF
 from fadegraph.plans.cypher import CypherError, parse, run
 
 T0 = "2024-01-01"
@@ -167,3 +168,29 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert g.load_export(str(tmp_path / "x"), merge=True).edges.count() == 1
     with pytest.raises(ValueError):
         g.__class__.empty(spark, "../x")
+
+
+def movable(links, c, gamma=2.0):
+    """Nodes of a partition that would still gain by a move to a neighbour's community."""
+    k = {n: sum(w for a, b, w in links if n in (a, b)) for n in c}
+    m = sum(k.values()) / 2
+    to = lambda n, x: sum(w for a, b, w in links if (a == n and c[b] == x) or (b == n and c[a] == x))
+    total = lambda n, x: sum(k[i] for i in c if c[i] == x and i != n)
+    value = lambda n, x: to(n, x) / m - gamma * k[n] * total(n, x) / (2 * m * m)
+    return {n for n in c for x in set(c.values()) if to(n, x) > 0 and value(n, x) > value(n, c[n]) + 1e-9}
+
+
+def test_communities_settle(spark, monkeypatch):
+    import random
+
+    from fadegraph.plans import graph_queries
+
+    r = random.Random(0)  # a graph on which 12 rounds leave four nodes that would still move
+    links = sorted({tuple(sorted(r.sample(range(150), 2))) for _ in range(300)})
+    links = [(f"n{a:03}", f"n{b:03}", round(r.uniform(0.2, 0.9), 2)) for a, b in links]
+    e = graph(spark, [(a, b, "trail", w) for a, b, w in links]).withColumn("last_touch", F.lit(AS_OF).cast("timestamp_ntz"))
+    monkeypatch.setattr(graph_queries, "kg_edges", lambda *_: e)
+    c = {x.node: x.community for x in graph_queries.communities(spark, "").collect()}
+    assert len(c) == len({x for a, b, _ in links for x in (a, b)}) and not movable(links, c)
+    with pytest.raises(RuntimeError):
+        community.local_moving(e, most_rounds=2, as_of=AS_OF)
