@@ -7,6 +7,9 @@ few rounds.  Mass of nodes without out-edges is lost, as intended.
 """
 from __future__ import annotations
 
+import warnings
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +20,14 @@ from fadegraph.sources import materialise
 CUT = 5
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 50, tolerance: float | None = 1e-6, as_of: str = AS_OF) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int | None = 50, tolerance: float | None = 1e-6, as_of: str = AS_OF) -> DataFrame:
     """(node, rank) above 1e-8; ``seeds`` has node and, if wanted, weight.
 
-    With ``tolerance`` None exactly ``rounds`` rounds are run.
+    With ``tolerance`` None exactly ``rounds`` rounds are run.  With ``rounds`` None they go on until the change is under
+    ``tolerance``; as a round leaves at most 1 - alpha of it, that ends.  Rounds that end before the tolerance is met are warned of.
     """
+    if rounds is None and (tolerance is None or tolerance <= 0 or not 0 < alpha <= 1):
+        raise ValueError("without rounds, tolerance and alpha must be above 0")
     live = effective(edges, as_of).filter(F.col("eff") > 0.001).groupBy("src", "dst").agg(F.sum("eff").alias("w"))
     out = live.groupBy("src").agg(F.sum("w").alias("total"))
     moves = materialise(live.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "moves")
@@ -29,7 +35,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: in
     start = start.groupBy("node").agg(F.max("weight").alias("weight"))
     home = materialise(start.withColumn("home", F.col("weight") / start.agg(F.sum("weight")).scalar()).select("node", "home"), "home")
     rank = home.select("node", F.col("home").alias("rank"))
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         moved = rank.join(moves, rank.node == moves.src).select(F.col("dst").alias("node"), ((1 - alpha) * F.col("rank") * F.col("p")).alias("rank"))
         new = moved.unionByName(home.select("node", (alpha * F.col("home")).alias("rank"))).groupBy("node").agg(F.sum("rank").alias("rank"))
         if tolerance is not None:
@@ -40,6 +46,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: in
             rank = new
             if (moved_by or 0.0) < tolerance:
                 break
+            if k == rounds:
+                warnings.warn(f"PageRank changed by {moved_by:.3g} in its last round of {rounds}, tolerance {tolerance:g}", stacklevel=2)
         else:
             rank = materialise(new, "rank") if k % CUT == 0 and k < rounds else new
     return rank.filter(F.col("rank") > 1e-8)

@@ -298,9 +298,9 @@ def ppr_k5(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ppr_converged(spark: SparkSession, d: str) -> DataFrame:
-    """Personalized PageRank until it settles."""
+    """Personalized PageRank until a round changes it by less than 1e-6."""
     e = kg_edges(spark, d)
-    return rank.pagerank(e, hub(e), rounds=20, tolerance=1e-4).withColumn("rank", _r("rank"))
+    return rank.pagerank(e, hub(e), rounds=None).withColumn("rank", _r("rank"))
 
 
 @query(f"""WITH {EDGES}, a AS (SELECT src AS a, dst AS b, eff AS w FROM kg_eff WHERE eff >= 0.001 UNION ALL SELECT dst, src, eff FROM kg_eff WHERE eff >= 0.001),

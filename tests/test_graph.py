@@ -194,3 +194,16 @@ def test_communities_settle(spark, monkeypatch):
     assert len(c) == len({x for a, b, _ in links for x in (a, b)}) and not movable(links, c)
     with pytest.raises(RuntimeError):
         community.local_moving(e, most_rounds=2, as_of=AS_OF)
+
+
+def test_pagerank_settles(spark, monkeypatch):
+    from fadegraph.plans import graph_queries
+
+    # no mass is lost on a ring, so the change shrinks by 0.85 a round only
+    e = graph(spark, [(f"n{i}", f"n{(i + 1) % 30}", "trail", 0.9) for i in range(30)]).withColumn("last_touch", F.lit(AS_OF).cast("timestamp_ntz"))
+    monkeypatch.setattr(graph_queries, "kg_edges", lambda *_: e)
+    monkeypatch.setattr(graph_queries, "hub", lambda _: start(spark, "n0"))
+    got = {x.node: x.rank for x in graph_queries.ppr_converged(spark, "").collect()}
+    assert got == {f"n{i}": pytest.approx(0.15 * 0.85**i / (1 - 0.85**30), abs=1e-5) for i in range(30)}
+    with pytest.warns(UserWarning, match="PageRank changed by"):
+        rank.pagerank(e, start(spark, "n0"), rounds=2, as_of=AS_OF)
