@@ -157,14 +157,14 @@ n AS (SELECT token, sqrt(sum(val * val)) AS norm FROM s GROUP BY token)
 SELECT token, dim::INT AS dim, round(val / norm, 6) + 0.0 AS val FROM s JOIN n USING (token) WHERE norm > 0 AND abs(val) > 1e-9""")
 def hdc_context_sparse(spark: SparkSession, d: str) -> DataFrame:
     """Context vectors of all tokens."""
-    v = hdc.context_vectors(_records(spark, d), 5, 1000, 10)
+    v = hdc.context_vectors(_records(spark, d), 5)
     return v.filter(F.abs("val") > 1e-12).select("token", "dim", _r("val"))
 
 
 @query()
 def hdc_most_similar(spark: SparkSession, d: str) -> DataFrame:
     """Tokens whose contexts are most like that of a frequent one."""
-    return hdc.most_similar(hdc.context_vectors(_records(spark, d), 5, 1000, 10), "membrane", 20).withColumn("score", _r("score"))
+    return hdc.most_similar(hdc.context_vectors(_records(spark, d), 5), "membrane", 20).withColumn("score", _r("score"))
 
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))

@@ -174,3 +174,35 @@ def test_recall_takes_all_gold(spark, monkeypatch):
     monkeypatch.setattr(search_queries, "kg_nodes", lambda *_: nodes)
     monkeypatch.setattr(search_queries, "table", lambda *_: triplets)
     assert [tuple(r) for r in search_queries.recall_at_k(spark, "").collect()] == [("w", round(3 / 7, 6), 3, 7)]
+
+
+def test_context_vectors_of_full_size(spark, monkeypatch):
+    import hashlib
+    from fadegraph.plans import search_queries
+
+    sents = [["membrane", "ion", "pump"], ["ion", "channel", "gate", "membrane"], ["lonely"], ["gate", "pump", "ion"]]
+    monkeypatch.setattr(search_queries, "_records", lambda *_: spark.createDataFrame(list(enumerate(sents)), "sent bigint, tokens array<string>"))
+    words = {w for s in sents for w in s}
+    idf = {w: math.log(len(sents) / (sum(w in s for s in sents) + 1)) + 1 for w in words}
+    base = {}
+    for w in words:
+        for i in range(100):
+            h = hashlib.md5(f"{w}:{i}".encode()).hexdigest()
+            base.setdefault(w, {})[int(h[:8], 16) % 10_000] = 1.0 if int(h[8:10], 16) % 2 == 0 else -1.0
+    want = {}
+    for w in words:
+        v = {}
+        for s in sents:
+            for i, j in ((i, j) for i in range(len(s)) for j in range(len(s)) if i != j and s[i] == w and abs(i - j) <= 5):
+                for dim, x in base[s[j]].items():
+                    v[dim] = v.get(dim, 0.0) + idf[s[j]] * x
+        v = v or base[w]
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        want[w] = {dim: x / norm for dim, x in v.items() if abs(x) > 1e-9}
+    got = {}
+    for r in search_queries.hdc_context_sparse(spark, "").collect():
+        got.setdefault(r.token, {})[r.dim] = r.val
+    assert got.keys() == want.keys() and all(got[w] == pytest.approx(want[w], abs=2e-6) for w in want)
+    score = {w: sum(x * want["membrane"].get(dim, 0.0) for dim, x in want[w].items()) for w in words}
+    near = {r.token: r.score for r in search_queries.hdc_most_similar(spark, "").collect()}
+    assert near == {w: pytest.approx(score[w], abs=2e-6) for w in near} and near.keys() >= {w for w in words - {"membrane"} if abs(score[w]) > 1e-6}
