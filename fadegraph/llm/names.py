@@ -5,7 +5,8 @@
    spellings) or more different partner words are role words, unless they are
    one edit from a word with ``SLIP`` times their partners:
    given names and words of organisations if mostly capitalised, else names of
-   things.  The rest are the rare words that tell entities apart.
+   things.  A word that stands after "Surname," more often than before a comma is
+   a given name with any number of partners.  The rest are the rare words that tell entities apart.
 2. Each spelling is parsed into a rare word (surname, or an organisation's own
    word) and a spelling of its role part (given name, short form, initial,
    abbreviation; field and type of an organisation).  Spellings with digits or
@@ -290,6 +291,22 @@ def role_words(sp: DataFrame) -> tuple[set[str], set[str], set[str]]:
     return given, org, things
 
 
+def given_by_position(sp: DataFrame, org: set[str], things: set[str]) -> set[str]:
+    """Unlisted given names, however few their partners: words that stand alone after 'Surname,' in more spellings than before the comma."""
+    at = r"^\s*(\p{Lu}[\p{L}\p{M}]+)\s*,\s*(\p{Lu}[\p{L}\p{M}]+)\s*$"
+    two = sp.filter(F.col("name").rlike(at)).select(*(F.lower(F.regexp_extract("name", at, i)).alias(c) for i, c in ((1, "before"), (2, "after"))))
+    n = two.distinct().select(F.explode(F.array(*(F.struct(F.col(c).alias("word"), F.lit(v).alias("v"), F.lit(v > 0).cast("int").alias("g")) for c, v in (("before", -1), ("after", 1))))).alias("e"))
+    votes = n.groupBy("e.word").agg(F.sum("e.v").alias("more"), F.sum("e.g").alias("n")).filter("more > 0")
+    rows = {r.word: r.n for r in votes.collect()}
+    fixed = {*GIVEN, *SHORT, *(x for s in SHORT.values() for x in s.split())}
+    known = Lexicon._fuzzy(w for w in fixed if len(w) > 3)
+    slips = _slips(rows)
+    return {
+        w for w in rows if len(w) > 2 and w not in slips and w not in NOISE and w not in ORG_SHORT and w not in ORG_TYPES and w not in ORG_FIELDS
+        and w not in org and w not in things and (w in fixed or Lexicon._guess(w, known) is None)
+    }
+
+
 def _parsed(sp: DataFrame, lex: Lexicon) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = lex.parse
@@ -338,6 +355,7 @@ def entities(names: DataFrame, forms: DataFrame, column: str = "name") -> DataFr
     spark = names.sparkSession
     sp = spellings(names, column)
     given, org, things = role_words(sp)
+    given |= given_by_position(sp, org, things)
     short: dict[str, set[str]] = defaultdict(set)
     for full, s in SHORT.items():
         for x in s.split():

@@ -130,6 +130,13 @@ def test_names(spark):
     assert names.pairs(names.entities(df.limit(0), forms.limit(0))).count() == 0
 
 
+def test_rare_given_names_by_position(spark):
+    groups = [["Ottokar Kanezuvo", "Kanezuvo, Ottokar", "O. Kanezuvo"], ["Robert Melodiru", "Melodiru, Robert", "Roebrt Melodiru", "Melodiru, Roebrt"]]
+    df = spark.createDataFrame([(n,) for g in groups for n in g + g[:1]], "name string")
+    got = {(r.name_a, r.name_b) for r in names.pairs(names.entities(df, spark.createDataFrame([], "given string, short_form string"))).collect()}
+    assert got == {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+
+
 # -- 6 --------------------------------------------------------------------------------------------
 
 
