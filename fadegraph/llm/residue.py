@@ -14,6 +14,7 @@ Placeholders in code, in backticks or in a sentence about templates are mentions
 
 The ``HOT`` most frequent verdicts are joined on the map side (a bounded table:
 a hash and four small numbers each); the rest is shuffled and has no hot key.
+Recurrence decides nothing: how often and in how many sources a segment occurs only orders the join and is reported.
 ``messages`` reports the recurring messages with their documents and sources.
 
 Defined cases: null, empty and blank texts are not residue; each row is judged
@@ -144,7 +145,7 @@ def _masked(seg: Column) -> Column:
 
 def verdicts(segs: DataFrame) -> DataFrame:
     """One row per distinct masked segment: hash, how often, in how many sources, and what the rules say of it."""
-    groups = segs.groupBy("masked").agg(F.count("*").alias("n"), F.approx_count_distinct("source").alias("sources"))
+    groups = segs.groupBy("masked").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
     text = normal(F.col("masked"))
     messages, furniture = _phrases(FILLER, ERROR, SCRIPTS), _phrases(FURNITURE)
     first = F.regexp_replace("norm", messages, "")

@@ -267,6 +267,11 @@ def test_residue(spark, monkeypatch):
     assert [(r.message, r.n) for r in residue.messages(again).collect()] == [("TBD.", 4)]
 
 
+def test_message_sources_are_exact(spark):
+    docs = spark.createDataFrame([(i, "TBD.", f"s{i % 1999}") for i in range(4000)], "doc_id bigint, text string, source string")
+    assert [tuple(r) for r in residue.messages(docs).collect()] == [("TBD.", 4000, 1999)]
+
+
 def test_scan_carries_runs_over_batches():
     key = ["a", "a", "b", "b", "b", "c"]
     f = pd.DataFrame({"tbl": "t", "key": key, "id": [1, 2, 3, 4, 9, 5], "keep": 0, "n": 1, "part": 0, "edge": False})
