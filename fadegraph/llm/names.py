@@ -23,10 +23,11 @@
 One edit is an insertion, deletion, substitution or swap of neighbours; such
 pairs share a word with one letter deleted, so candidates meet by equality
 joins on (deleted form, role part).  The parser's tables hold at most
-``ROLE_WORDS`` role words, the ones with most partners.
+``ROLE_WORDS`` words or short forms of a kind and ten times as many spellings of
+role parts; more of them is an error, none is dropped.
 
 Defined cases: null, empty and blank names are none; a spelling of more than
-eight words is no name; a surname or organisation word alone belongs to
+eight words or 200 characters is no name; a surname or organisation word alone belongs to
 nothing; of equally good candidates the smaller one by code points wins.
 """
 from __future__ import annotations
@@ -240,6 +241,14 @@ class Lexicon:
         return out
 
 
+def _bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table for the parser; an error if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}; the parser's tables would not hold them all")
+    return rows
+
+
 def spellings(names: DataFrame, column: str = "name") -> DataFrame:
     """(name, n): distinct names and how often each occurs, written to the shared folder."""
     return materialise(
@@ -282,7 +291,8 @@ def role_words(sp: DataFrame) -> tuple[set[str], set[str], set[str]]:
         .groupBy("word").agg(F.count("*").alias("partners")).filter(F.col("partners") >= least)
     )
     use = words.groupBy("word").agg(F.avg(F.col("capital").cast("int")).alias("capital"), F.avg(F.col("org").cast("int")).alias("org"))
-    top = partners.join(use, "word").orderBy(F.desc("partners"), "word").limit(ROLE_WORDS).collect()
+    top = partners.join(use, "word").orderBy(F.desc("partners"), "word")
+    top = _bounded(top, ROLE_WORDS, "role words")
     given, org, things = set(), set(), set()
     slips = _slips({r.word: r.partners for r in top})
     for r in top:
@@ -297,7 +307,7 @@ def given_by_position(sp: DataFrame, org: set[str], things: set[str]) -> set[str
     two = sp.filter(F.col("name").rlike(at)).select(*(F.lower(F.regexp_extract("name", at, i)).alias(c) for i, c in ((1, "before"), (2, "after"))))
     n = two.distinct().select(F.explode(F.array(*(F.struct(F.col(c).alias("word"), F.lit(v).alias("v"), F.lit(v > 0).cast("int").alias("g")) for c, v in (("before", -1), ("after", 1))))).alias("e"))
     votes = n.groupBy("e.word").agg(F.sum("e.v").alias("more"), F.sum("e.g").alias("n")).filter("more > 0")
-    rows = {r.word: r.n for r in votes.collect()}
+    rows = {r.word: r.n for r in _bounded(votes, ROLE_WORDS, "given names by position")}
     fixed = {*GIVEN, *SHORT, *(x for s in SHORT.values() for x in s.split())}
     known = Lexicon._fuzzy(w for w in fixed if len(w) > 3)
     slips = _slips(rows)
@@ -326,10 +336,10 @@ def learned_short(parsed: DataFrame) -> dict[str, set[str]]:
     rows = (
         both.join(n, "x").join(n.select(F.col("x").alias("g"), F.col("n").alias("ng")), "g")
         .filter((F.col("c") >= 4) & (F.col("c") >= 0.25 * F.col("n")) & (F.col("ng") > 2 * F.col("n")) & F.col("x").isin(GIVEN).eqNullSafe(False))
-        .orderBy(F.desc("c"), "x", "g").limit(ROLE_WORDS).collect()
+        .orderBy(F.desc("c"), "x", "g")
     )
     out: dict[str, set[str]] = defaultdict(set)
-    for r in rows:
+    for r in _bounded(rows, ROLE_WORDS, "learned short forms"):
         out[r.x].add(r.g)
     return out
 
@@ -360,8 +370,8 @@ def entities(names: DataFrame, forms: DataFrame, column: str = "name") -> DataFr
     for full, s in SHORT.items():
         for x in s.split():
             short[x].add(full)
-    # at most ROLE_WORDS known short forms are read
-    for r in forms.filter("given IS NOT NULL AND short_form IS NOT NULL").orderBy("given", "short_form").limit(ROLE_WORDS).collect():
+    known = forms.filter("given IS NOT NULL AND short_form IS NOT NULL").select("given", "short_form").distinct()
+    for r in _bounded(known, ROLE_WORDS, "known short forms"):
         short[r.short_form.strip().lower()].add(r.given.strip().lower())
     given |= {g for s in short.values() for g in s}
     lex = Lexicon(given, org, things, short)
@@ -369,7 +379,7 @@ def entities(names: DataFrame, forms: DataFrame, column: str = "name") -> DataFr
     for x, gs in learned_short(parsed).items():
         if x not in lex.short:
             lex.short[x] |= {g for g in gs if g not in lex.short}
-    spelt = {(r.kind, r.x) for r in parsed.select("kind", "x").distinct().limit(10 * ROLE_WORDS).collect()}
+    spelt = {(r.kind, r.x) for r in _bounded(parsed.select("kind", "x").distinct(), 10 * ROLE_WORDS, "spellings of role parts")}
     channel = spark.createDataFrame(lex.channel(spelt) or [("p", "", "", 0.0)], "kind string, x string, role string, fit double")
     # spelt out enough to make a candidate
     full = F.when(F.col("kind") == "p", ~F.col("x").endswith(".")).otherwise(F.col("x").rlike(r"[^|]\|[^|]"))

@@ -137,6 +137,15 @@ def test_rare_given_names_by_position(spark):
     assert got == {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
 
 
+def test_names_drop_no_words(spark, monkeypatch):
+    df = spark.createDataFrame([("Robert Kanezuvo",), ("Bob Kanezuvo",)], "name string")
+    forms = spark.createDataFrame([("Robert", "Bob"), ("Susan", "Sue"), ("Susan", "Suze")], "given string, short_form string")
+    monkeypatch.setattr(names, "ROLE_WORDS", 2)
+    with pytest.raises(ValueError, match="known short forms"):
+        names.entities(df, forms)
+    assert names.pairs(names.entities(df, forms.limit(2))).count() == 1
+
+
 # -- 6 --------------------------------------------------------------------------------------------
 
 
