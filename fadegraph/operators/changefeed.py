@@ -148,8 +148,19 @@ class BucketedTable:
         )
 
 
-def replay(feed: DataFrame, path: str | None = None, n_buckets: int | None = None) -> DataFrame:
-    """The items that exist after a whole feed, rebuilt from an empty table."""
+def replay(feed: DataFrame, path: str | None = None, n_buckets: int | None = None, arrived: str | None = None) -> DataFrame:
+    """The items that exist after a whole feed, rebuilt from an empty table.
+
+    With a column ``arrived`` the feed is applied in two batches, the later half of the time of arrival after the earlier, so that
+    the second rewrites buckets of the first.  Entries without a time come with the second.
+    """
     t = BucketedTable.create(feed.sparkSession, path, n_buckets)
-    t.apply(feed)
+    if arrived is None:
+        t.apply(feed)
+        return t.snapshot()
+    when = F.col(arrived).cast("timestamp").cast("double")
+    half = feed.agg((F.min(when) / 2 + F.max(when) / 2).alias("half")).first().half
+    early = F.coalesce(when <= F.lit(half).cast("double"), F.lit(False))
+    for batch in (early, ~early):
+        t.apply(feed.filter(batch))
     return t.snapshot()

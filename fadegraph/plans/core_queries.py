@@ -10,8 +10,8 @@ from fadegraph.sources import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that exist at the end of the log, with the seq of their last entry."""
-    return replay(table(spark, sf_dir, "mutations")).select("item", "seq")
+    """Items that exist at the end of the log, with the seq of their last entry; the log is applied in two batches by arrival."""
+    return replay(table(spark, sf_dir, "mutations"), arrived="arrived_at").select("item", "seq")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}

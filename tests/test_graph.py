@@ -44,6 +44,17 @@ def test_changefeed_any_order_and_batches(spark):
         assert items(t.snapshot()) == WANT
 
 
+def test_changefeed_query_merges_batches(spark, monkeypatch):
+    from fadegraph.plans import core_queries
+
+    log = feed(spark, ROWS * 2).withColumn("arrived_at", F.timestamp_seconds(F.pmod(F.xxhash64("seq", "op"), F.lit(7))).cast("timestamp_ntz"))
+    monkeypatch.setattr(core_queries, "table", lambda *_: log.withColumn("arrived_at", F.when(F.col("op") != "edge_prune", F.col("arrived_at"))))
+    merged = []
+    monkeypatch.setattr(changefeed.BucketedTable, "_read", lambda t, folders, f=changefeed.BucketedTable._read: merged.append(len(folders)) or f(t, folders))
+    assert {(r.item, r.seq) for r in core_queries.p2_found(spark, "").collect()} == WANT
+    assert len(merged) == 2 and merged[0] > 0  # old buckets for the merge, then the snapshot
+
+
 def test_changefeed_touches_only_its_buckets(spark):
     t = changefeed.BucketedTable.create(spark, n_buckets=8)
     first = t.apply(feed(spark, [(i, "node_upsert", None, f"n{i}") for i in range(40)]))
