@@ -50,7 +50,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of each field with the largest sum of trust times recency."""
-    return survivorship.votes(table(spark, sf_dir, "edges")).withColumn("weight", F.round("weight", 9))
+    return survivorship.votes(table(spark, sf_dir, "edges")).withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -104,14 +104,20 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most characteristic term of each record."""
-    return distinctive.top_term(distinctive.weights(table(spark, sf_dir, "hdc_records"), "tfidf"))
+    """The most characteristic term of each record: the leader by z-score, held against the weight asked for."""
+    return distinctive.top_term(distinctive.scores(table(spark, sf_dir, "hdc_records"))).select("rec_id", "term")
 
 
 @query
 def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z-score of the log-odds ratio of each term of each record."""
-    return distinctive.weights(table(spark, sf_dir, "hdc_records")).withColumn("weight", F.round("weight", 6))
+    return distinctive.scores(table(spark, sf_dir, "hdc_records")).select("rec_id", "term", F.round("z", 6).alias("weight"))
+
+
+@query
+def p7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many records the z-score alone has the term of p7_found."""
+    return distinctive.agreement(distinctive.top_term(distinctive.scores(table(spark, sf_dir, "hdc_records"))))
 
 
 @query
@@ -230,6 +236,13 @@ FROM p JOIN m x ON x.tag = a JOIN m y ON y.tag = p.b, n WHERE p.c >= 2""",
   CAST(max(confidence) FILTER (WHERE attr = 'confidence') AS VARCHAR) AS confidence, max(provenance) FILTER (WHERE attr = 'provenance') AS provenance,
   CAST(max(last_touch) FILTER (WHERE attr = 'last_touch') AS VARCHAR) AS last_touch, max(source) FILTER (WHERE attr = 'source') AS source
 FROM w WHERE rn = 1 GROUP BY group_ord""",
+    "p4_votes": _EDGES + """, l AS (
+  SELECT group_ord, attr, CASE attr WHEN 'confidence' THEN CAST(floor(confidence * 1000) / 1000 AS VARCHAR) WHEN 'provenance' THEN lower(regexp_replace(provenance, '[^A-Za-z]', '', 'g'))
+    WHEN 'last_touch' THEN CAST(last_touch AS VARCHAR) ELSE lower(trim(source)) END AS value,
+    [1.0, 0.7, 0.4, 0.2, 0.05][tr] * pow(2.0, -least(coalesce(date_diff('microsecond', lt, TIMESTAMP '2026-01-01') / 86400000000.0, 3650.0), 3650.0) / 90.0) AS w
+  FROM u WHERE ok
+), s AS (SELECT group_ord, attr, value, round(sum(w), 9) AS w FROM l GROUP BY 1, 2, 3)
+SELECT group_ord, attr, value, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY group_ord, attr ORDER BY w DESC, value) AS rn FROM s) WHERE rn = 1""",
     "p6_found": _WRITTEN + "SELECT tbl, keep AS keep_id, id AS copy_id FROM g WHERE id <> keep",
     "p6_counts": _WRITTEN + "SELECT tbl, id AS keep_id, n AS copies FROM g WHERE id = keep",
     "p7_found": _TERMS + """, w AS (
@@ -239,6 +252,6 @@ SELECT rec_id, term FROM r WHERE rn = 1 AND (nx IS NULL OR w - nx > 1e-9)""",
     "p8_round_trip": "SELECT doc_id, TRUE AS same FROM documents",
     "p7_log_odds": _TERMS + """, s AS (SELECT rec_id, sum(tf) AS sz FROM tf GROUP BY rec_id),
 n AS (SELECT sum(c) AS n FROM st),
-x AS (SELECT rec_id, term, sz, n, tf + 1000.0 * c / n AS i, c - tf + 1000.0 * c / n AS j FROM tf JOIN st USING (term) JOIN s USING (rec_id), n)
-SELECT rec_id, term, round((ln(i / greatest(sz + 1000.0 - i, 1e-9)) - ln(j / greatest(n - sz + 1000.0 - j, 1e-9))) / sqrt(1 / i + 1 / j), 6) AS weight FROM x""",
+x AS (SELECT rec_id, term, sz, n, tf + 0.1 * c AS i, c - tf + 0.1 * c AS j FROM tf JOIN st USING (term) JOIN s USING (rec_id), n)
+SELECT rec_id, term, round((ln(i / greatest(sz + 0.1 * n - i, 1e-9)) - ln(j / greatest(n - sz + 0.1 * n - j, 1e-9))) / sqrt(1 / i + 1 / j), 6) AS weight FROM x""",
 }

@@ -181,15 +181,16 @@ def test_json_copies(spark):
 def test_distinctive(spark):
     rows = [(1, ["a", "A ", "b", None, " "]), (1, ["a", "A ", "b", None, " "]), (2, ["b", "c"]), (3, []), (4, None), (None, ["z"]), (5, ["b"])]
     df = spark.createDataFrame([(i, None, t, "x", 1) for i, t in rows], "rec_id bigint, trained_at timestamp_ntz, tokens array<string>, term string, d int")
-    w = {(r.rec_id, r.term): r.weight for r in distinctive.weights(df, "tfidf").collect()}
+    w = {(r.rec_id, r.term): r.w for r in distinctive.scores(df).withColumn("w", distinctive.weight()).collect()}
     assert w[1, "a"] == pytest.approx(2 * (math.log(5 / 2) + 1)) and w[5, "b"] == pytest.approx(math.log(5 / 4) + 1) and len(w) == 5
-    top = {(r.rec_id, r.term) for r in distinctive.top_term(distinctive.weights(df, "tfidf")).collect()}
-    assert top == {(1, "a"), (2, "c"), (5, "b")}
+    for prior in (0.1, 50.0):  # the rows hold whatever the prior
+        top = {(r.rec_id, r.term) for r in distinctive.top_term(distinctive.scores(df, prior)).collect()}
+        assert top == {(1, "a"), (2, "c"), (5, "b")}
     tie = spark.createDataFrame([(1, None, ["p", "q"])], "rec_id bigint, trained_at timestamp_ntz, tokens array<string>")
-    assert distinctive.top_term(distinctive.weights(tie, "tfidf")).count() == 0
-    z = {(r.rec_id, r.term): r.weight for r in distinctive.weights(df, "log_odds", 10.0).collect()}
+    assert distinctive.top_term(distinctive.scores(tie)).count() == 0
+    z = {(r.rec_id, r.term): r.z for r in distinctive.scores(df).collect()}
     assert z[1, "a"] > z[1, "b"]
-    assert distinctive.weights(df.limit(0), "log_odds").count() == 0
+    assert distinctive.scores(df.limit(0)).count() == 0
 
 
 # -- 8 --------------------------------------------------------------------------------------------
