@@ -107,8 +107,8 @@ _ASK = (
 )
 _OF = r"customer|client|company|order|product|user|full|first|last|contact|project|recipient|sender|event|invoice|phone|email"
 TALK = r"(?iu)template|mail builder|gabarit|vorlage|plantilla|placeholder"
-#: A character every unfilled field has; cheap to look for.
-_MARK = r"[{}$<>%\[\]@#«:_X(]|N\.N\."
+#: How every unfilled field begins; cheap to look for.
+_MARK = rf"\{{[\{{%\p{{L}}]|\$[\{{\[]|<[%?\p{{L}}]|\[[\[.\p{{L}}]|[#%]\p{{L}}|«|@@|__|::|XXXX|N\.N\.|\((?iu:(?:your |{_ASK}|\p{{L}}+[ _](?:\p{{L}}+ )?(?:{_ASK})))"
 
 
 def _fields() -> str:
@@ -128,15 +128,19 @@ def _placeholder() -> str:
     )
 
 
-def _tree(words: list[str]) -> str:
-    """An alternation with shared beginnings, so that most places of a text fail at one letter."""
+def _tree(words: list[str], whole: bool = False) -> str:
+    """An alternation with shared beginnings, so that most places of a text fail at one letter.
+
+    Without ``whole`` a word that begins another stands for both; with it each is matched to its end, the longest first.
+    """
     heads: dict[str, list[str]] = {}
     for w in sorted(set(words)):
         heads.setdefault(w[:1], []).append(w[1:])
-    if "" in heads:  # what begins with a shorter word is found by it
+    ends = heads.pop("", None) is not None
+    if ends and not (whole and heads):
         return ""
-    parts = [re.escape(h) + (_tree(rest) if rest != [""] else "") for h, rest in heads.items()]
-    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    parts = [re.escape(h) + _tree(rest, whole) for h, rest in heads.items()]
+    return parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")" + "?" * ends
 
 
 def _begins(*classes: str) -> str:
@@ -158,9 +162,16 @@ _FRAME = r"(?<!\S)at \S{1,80} ?\([^()]{0,80}\d\)"
 _SHAPE = r"^\s*(?:(?:[^<>|.!?]{1,30} [>»›] ){1,6}[^<>|.!?]{1,30})\s*$"
 
 
+def _addresses(segment: Column, by: str) -> Column:
+    """Addresses replaced; looked for only where there may be one, as each place of a text is a beginning."""
+    web = F.when(segment.contains("://"), F.regexp_replace(segment, r"https?://\S+", by)).otherwise(segment)
+    return F.when(segment.contains("@"), F.regexp_replace(web, r"(?<!\S)[^\s@]{1,64}@[^\s@]{1,255}", by)).otherwise(web)
+
+
 def normal(segment: Column) -> Column:
     """Words of a segment between single blanks, in lower case: no markup, addresses, dates, numbers or signs."""
-    bare = F.regexp_replace(segment, rf"<[^<>]{{0,200}}>|https?://\S+|[^\s@]{{1,64}}@[^\s@]{{1,255}}|{_FRAME}", " ")
+    bare = F.when(segment.rlike("[<@(]|://"), F.regexp_replace(
+        _addresses(segment, " "), rf"<[^<>]{{0,200}}>|{_FRAME}", " ")).otherwise(segment)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{M}]+", " ")), F.lit(" "))
 
 
@@ -187,8 +198,7 @@ def segments(docs: DataFrame, doc_id: str, text: str, source: str | None = None)
 
 def _masked(seg: Column) -> Column:
     """A segment as it is reported: dates, numbers and addresses masked, one blank between words."""
-    s = F.regexp_replace(seg, r"https?://\S+|[^\s@]{1,64}@[^\s@]{1,255}", "@")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\p{N}+(?:[.,:/-]\p{N}+)*", "0"), r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(_addresses(seg, "@"), r"\p{N}+(?:[.,:/-]\p{N}+)*", "0"), r"[\s\p{Z}]+", " "))
 
 
 def unfilled(seg: Column) -> Column:
@@ -199,16 +209,16 @@ def unfilled(seg: Column) -> Column:
 def strength(norm: Column) -> Column:
     """0 to 2: how strong the signs of a message are in normalised words."""
     has = lambda *c: norm.rlike(_begins(*c))
-    phrase = norm.rlike("(?<= )" + "(?:" + "|".join(sorted(_whole(), key=lambda p: (-len(p), p))) + ")(?= )")
-    latin = norm.rlike(r"(?<= )(?:(?:" + "|".join(LATIN) + r") ){4}")
+    phrase = norm.rlike(f"(?<= ){_tree(_whole(), True)}(?= )")
+    latin = norm.rlike(rf"(?<= )(?:{_tree(LATIN, True)} ){{4}}")
     strong = phrase | latin | norm.rlike(_AGAIN) | (has("thing") & has("failure")) | (has("script") & has("switch"))
-    return F.when(strong, 2).when(has(*CLASSES) | norm.rlike(r"(?<= )(?:" + "|".join(LATIN) + ") "), 1).otherwise(0)
+    return F.when(strong, 2).when(has(*CLASSES) | norm.rlike(f"(?<= ){_tree(LATIN, True)} "), 1).otherwise(0)
 
 
 def own_words(norm: Column) -> Column:
     """How many words are of no class, no phrase, no filler and no grammar."""
-    left = F.regexp_replace(norm, "(?<= )(?:" + "|".join(sorted(_whole(), key=lambda p: (-len(p), p))) + ")(?= )", "")
-    known = rf"(?:{_tree([w for c in CLASSES for w in CLASSES[c].split()])}\p{{L}}*|(?:{'|'.join(sorted({*GRAMMAR, *LATIN}))}))"
+    left = F.regexp_replace(norm, f"(?<= ){_tree(_whole(), True)}(?= )", "")
+    known = rf"(?:{_tree([w for c in CLASSES for w in CLASSES[c].split()])}\p{{L}}*|{_tree([*GRAMMAR, *LATIN], True)})"
     left = F.regexp_replace(F.regexp_replace(left, " +", " "), rf"(?<= ){known}(?= )", "")
     return _count(F.concat(F.lit(" "), F.trim(F.regexp_replace(left, " +", " ")), F.lit(" "))) * (F.trim(left) != "").cast("int")
 
