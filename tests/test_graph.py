@@ -52,7 +52,7 @@ def test_changefeed_query_merges_batches(spark, monkeypatch):
     merged = []
     monkeypatch.setattr(changefeed.BucketedTable, "_read", lambda t, folders, f=changefeed.BucketedTable._read: merged.append(len(folders)) or f(t, folders))
     assert {(r.item, r.seq) for r in core_queries.p2_found(spark, "").collect()} == WANT
-    assert len(merged) == 2 and merged[0] > 0  # old buckets for the merge, then the snapshot
+    assert len(merged) == 3 and merged[1] > 0  # old buckets to weigh and to merge, then the snapshot
 
 
 def test_changefeed_touches_only_its_buckets(spark):
@@ -70,6 +70,57 @@ def test_changefeed_empty_and_lost_race(spark):
         t._commit({"version": 0, "n_buckets": 2, "buckets": {}})
 
 
+def test_changefeed_reinforcements(spark, monkeypatch):
+    """Once a seq, whatever the order, batches, repeats and slices; only those after the last upsert."""
+    import random
+
+    monkeypatch.setattr(changefeed, "SLICE", 3)
+    up = lambda s, c: (None, s, "edge_upsert", "w", "e1", "a", "b", "trail", None, None, c, None, None, None, None, "clash", 9)
+    on = lambda s, d, e="e1": (None, s, "EdgeReinforce", "w", e, None, None, None, None, None, None, d, None, None, None, "clash", 9)
+    rows = [up(2, 0.2), up(5, 0.1), on(3, 0.5), on(1, 0.5), on(6, 0.1), on(7, 0.05), on(7, 0.02), on(9, None), on(10, float("nan")), on(11, -1.0), on(12, 0.3, "never"), on(20, 0.2)]
+    for seed in range(2):
+        every = rows * 3
+        random.Random(seed).shuffle(every)
+        t = changefeed.build([spark.createDataFrame(every[i : i + 18], FEED) for i in range(0, len(every), 18)], n_buckets=4)
+        got = [tuple(r) for r in t.strengths().collect()]
+        assert [(g[0], g[1], g[2], round(g[3], 9), g[4]) for g in got] == [("e1", 20, 0.1, 0.45, 3)]
+        assert t.states().filter("size(steps) > 3").count() == 0
+
+
+def test_changefeed_of_two_writers_one_commits(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = changefeed.BucketedTable.create(spark, n_buckets=2)
+
+    def write(i):
+        try:
+            changefeed.hadoop.write_text_once(spark, f"{t.path}/manifest/v00000001.json", '{"version": 1, "n_buckets": 2, "buckets": {}, "by": %d}' % i)
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(write, range(8)) if i is not None]
+    assert len(won) == 1 and t.manifest()["by"] == won[0]
+
+
+def test_changefeed_grown_table_is_split_and_vacuumed(spark, monkeypatch):
+    rows = [(i, "node_upsert", None, f"n{i}") for i in range(200)]
+    t = changefeed.build([feed(spark, rows[:100])], n_buckets=1)
+    monkeypatch.setattr(changefeed, "BUCKET_BYTES", 1_000)
+    m = t.apply(feed(spark, rows[100:101]))
+    assert m["n_buckets"] > 1 and len(m["buckets"]) > 1 and len(items(t.snapshot())) == 101
+    assert t.vacuum() == 1 and len(items(t.snapshot())) == 101
+
+
+def test_changefeed_bears_an_unfinished_manifest(spark):
+    t = changefeed.build([feed(spark, [(1, "node_upsert", None, "n1")])], n_buckets=1)
+    changefeed.hadoop.write_text_once(spark, f"{t.path}/manifest/v00000002.json", '{"vers')
+    assert items(t.snapshot()) == {("n1", 1)}
+    t.apply(feed(spark, [(2, "node_upsert", None, "n2")]))
+    assert items(t.snapshot()) == {("n1", 1), ("n2", 2)}
+
+
 def graph(spark, edges):
     rows = [("w", s, d, c, w, w, 1, "t", None, "automated", i) for i, (s, d, c, w) in enumerate(edges)]
     e = spark.createDataFrame(rows, "workspace string, src string, dst string, channel string, intensity double, confidence double, uses bigint, source string, label string, provenance string, ord bigint")
