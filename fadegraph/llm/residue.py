@@ -108,7 +108,7 @@ _ASK = (
 _OF = r"customer|client|company|order|product|user|full|first|last|contact|project|recipient|sender|event|invoice|phone|email"
 TALK = r"(?iu)template|mail builder|gabarit|vorlage|plantilla|placeholder"
 #: How every unfilled field begins; cheap to look for.
-_MARK = rf"\{{[\{{%\p{{L}}]|\$[\{{\[]|<[%?\p{{L}}]|\[[\[.\p{{L}}]|[#%]\p{{L}}|«|@@|__|::|XXXX|N\.N\.|\((?iu:(?:your |{_ASK}|\p{{L}}+[ _](?:\p{{L}}+ )?(?:{_ASK})))"
+_MARK = rf"(?=[{{$<\[#%«@_:XN(])(?:\{{[\{{%\p{{L}}]|\$[\{{\[]|<[%?\p{{L}}]|\[[\[.\p{{L}}]|[#%]\p{{L}}|«|@@|__|::|XXXX|N\.N\.|\((?iu:(?:your |{_ASK}|\p{{L}}+[ _](?:\p{{L}}+ )?(?:{_ASK}))))"
 
 
 def _fields() -> str:
@@ -154,7 +154,7 @@ def _whole() -> list[str]:
 
 #: Any sign at all: a word of a class, of a phrase or of the filler Latin; a phrase three times over.
 _SIGN = r"(?<= )(?:" + _tree([w for c in CLASSES for w in CLASSES[c].split()] + [p.split(" ")[0] if len(p.split(" ")[0]) > 3 else p for p in _whole()] + LATIN) + ")"
-_AGAIN = r"(?: |^)((?:\p{L}+ ){1,4})\1\1"
+_AGAIN = r"(?<= )((?:\p{L}++ ){1,4})\1\1"
 
 
 #: By their shape alone: frames of a stack trace, and the path to a page.
