@@ -89,8 +89,8 @@ def _sliced(entries: DataFrame) -> DataFrame:
     return entries.withColumn("slice", F.explode(own))
 
 
-def item_states(feed: DataFrame, n_buckets: int) -> DataFrame:
-    """One row for each item of the feed and each slice of its reinforcements, with its bucket."""
+def item_rows(feed: DataFrame, n_buckets: int) -> DataFrame:
+    """States of single entries, to be merged: a row for the item, and one for a reinforcement's slice, with their buckets."""
     filled = reduce(lambda a, b: a + b, (F.col(c).isNotNull().cast("int") for c in FIELDS))
     first = F.col("slice") == 0
     rows = _sliced(_entries(feed)).select(
@@ -101,7 +101,7 @@ def item_states(feed: DataFrame, n_buckets: int) -> DataFrame:
             F.col("seq").alias("seq"), filled.alias("filled"), *(F.col(c).cast(t).alias(c) for c, t in FIELDS.items()))).alias("entry"),
         F.when(~first, F.array(F.struct(F.col("seq").alias("seq"), F.col("delta").cast("double").alias("delta")))).alias("steps"),
     )
-    return _merge(rows.withColumn("bucket", _bucket(n_buckets)))
+    return rows.withColumn("bucket", _bucket(n_buckets))
 
 
 def _bytes(df: DataFrame) -> int:
@@ -155,15 +155,16 @@ class BucketedTable:
         split = held > 2 * BUCKET_BYTES * n
         while held > BUCKET_BYTES * n and split:
             n *= 2
-        changes = item_states(feed, n)
+        changes = item_rows(feed, n)
         if old:
             # from the ids alone; at most n small numbers come to the driver
             ids = _sliced(_entries(feed)).select(_bucket(n).alias("bucket")).distinct()
             touched = set(old) if split else {str(r.bucket) for r in ids.toLocalIterator()}
             base = self._read([f for b, f in old.items() if b in touched]).withColumn("bucket", _bucket(n))
-            changes = _merge(changes.unionByName(base))
+            changes = changes.unionByName(base)
         folder = f"data/v{version:08d}-{uuid.uuid4().hex[:8]}"
-        changes = changes.repartitionById(n, "bucket").sortWithinPartitions("bucket", "item", "slice")
+        # entries are combined on the map side together with old rows, then each bucket goes to its task
+        changes = _merge(changes).repartitionById(n, "bucket").sortWithinPartitions("bucket", "item", "slice")
         changes.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         new = {x[7:]: f"{folder}/{x}" for x in hadoop.names(self.spark, f"{self.path}/{folder}") if x.startswith("bucket=")}
         if not new:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadegraph.operators.graph import AS_OF, effective
-from fadegraph.sources import materialise
+from fadegraph.sources import discard, materialise
 
 TURNS = 4
 
@@ -26,20 +26,30 @@ def undirected(edges: DataFrame, as_of: str = AS_OF, minimum: float = 0.001) ->
     )).alias("e"), F.col("eff").alias("w")).select("e.a", "e.b", "w")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node of each connected part, by passing minima and jumping pointers."""
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(node, component): the smallest node of each connected part, by passing minima and jumping pointers until none moves.
+
+    With ``most_rounds`` it is an error if nodes still move after so many.
+    """
     both = materialise(
         edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct(), "both"
     )
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(most_rounds):
+    old = None
+    for turn in count():
+        if turn == most_rounds:
+            raise RuntimeError(f"components have not settled after {most_rounds} rounds")
         least = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("near"))
         step = label.join(least, label.node == least.a, "left").select("node", "component", F.least("component", "near").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("component").alias("far"))
         new = materialise(step.join(jump, "low", "left").select("node", F.least("low", "far").alias("component"), (F.least("low", "far") < F.col("component")).alias("moved")), "component")
         label = new.select("node", "component")
+        if old is not None:
+            discard(old)
+        old = new
         if not new.filter("moved").limit(1).count():
             break
+    discard(both)
     return label
 
 
@@ -52,7 +62,7 @@ def local_moving(edges: DataFrame, gamma: float = 2.0, most_rounds: int | None =
     strength = materialise(adj.groupBy("a").agg(F.sum("w").alias("k")), "strength")
     twice = strength.agg(F.sum("k")).scalar()
     comm = materialise(strength.select(F.col("a").alias("node"), "k", F.col("a").alias("community")), "community")
-    quiet = 0
+    old, quiet = comm, 0
     for turn in count():
         if turn == most_rounds:
             raise RuntimeError(f"communities have not settled after {most_rounds} rounds")
@@ -81,7 +91,8 @@ def local_moving(edges: DataFrame, gamma: float = 2.0, most_rounds: int | None =
             comm.join(best.withColumnRenamed("a", "node"), "node", "left").select("node", "k", F.coalesce("best", "community").alias("community"), F.col("best").isNotNull().alias("moved")), "community"
         )
         quiet = 0 if moved.filter("moved").limit(1).count() else quiet + 1
-        comm = moved.drop("moved")
+        discard(old)
+        old, comm = moved, moved.drop("moved")
         if quiet == 2 * TURNS - 1:  # a whole cycle without a move
             break
     return comm.select("node", "community")

@@ -5,10 +5,11 @@ the form min(c, a * x + b) and are closed under composition:
 
     min(c2, a2 * min(c1, a1 * x + b1) + b2) = min(min(c2, a2 * c1 + b2), a2 * a1 * x + a2 * b1 + b2)
 
-so the fold, though it does not commute, is associative.  Each key's history is
-cut into time slices, each slice is folded to (a, b, c) on its own, and the few
-slices of a key are composed in order.  A key with a third of all observations is
-thus spread over many tasks, and no task holds more than a slice of it.
+so the fold, though it does not commute, is associative.  Observations are
+partitioned by range of (key, time, seq), so partitions are of one size whatever the
+keys; what a partition has of a key is a slice, folded to (a, b, c) on its own, and
+the few slices of a key are composed in order.  A key with a third of all
+observations is thus spread over many tasks, and none holds more than its slice.
 
 Defined cases: observations without time, src, dst or channel are ignored; equal
 times are taken by seq; decay counts whole seconds; the first observation gives
@@ -22,15 +23,19 @@ from pyspark.sql import functions as F
 from fadegraph.functions import channels, exprs
 
 
-def fold_edges(observed: DataFrame, keys: list[str], slice_days: int = 7) -> DataFrame:
-    """keys, intensity, last_touch, uses of each edge; ``observed`` has keys, channel, ts, seq, confidence."""
+def fold_edges(observed: DataFrame, keys: list[str], slices: int | None = None) -> DataFrame:
+    """keys, intensity, last_touch, uses of each edge; ``observed`` has keys, channel, ts, seq, confidence.
+
+    ``slices`` is the number of range partitions, by default that of the session's shuffles.
+    """
     conf = F.when(F.col("confidence").between(0, 1), F.col("confidence")).when(F.col("confidence") > 1, 1.0).when(
         F.col("confidence") < 0, 0.0
     ).otherwise(0.8)
     rows = observed.filter("ts IS NOT NULL AND channel IS NOT NULL").select(
         *keys, *([] if "channel" in keys else ["channel"]), "ts", "seq", F.when(F.isnan("confidence"), 0.8).otherwise(conf).alias("c"),
-        F.floor(F.timestamp_diff("DAY", exprs.ts("1970-01-01"), F.col("ts")) / slice_days).alias("slice"),
     )
+    order = [*keys, "ts", "seq"]
+    rows = (rows.repartitionByRange(slices, *order) if slices else rows.repartitionByRange(*order)).withColumn("slice", F.spark_partition_id())
     rate, gain = F.col("rate"), F.col("gain")
     sliced = rows.groupBy(*keys, "slice").agg(
         F.first(channels.tau(F.col("channel"))).alias("rate"), F.first(channels.delta(F.col("channel"))).alias("gain"),
@@ -48,10 +53,10 @@ def fold_edges(observed: DataFrame, keys: list[str], slice_days: int = 7) -> Dat
     born = F.struct(F.col("o")[0]["ts"].alias("t"), F.lit(0.0).alias("a"), F.col("o")[0]["c"].alias("b"), F.lit(1.0).alias("cap"))
     rest = F.slice("o", F.lit(2), F.size("o"))
     parts = sliced.select(
-        *keys, "rate", F.col("o")[0]["ts"].alias("from"), F.size("o").cast("bigint").alias("n"),
+        *keys, "rate", F.col("o")[0]["ts"].alias("from"), F.col("o")[0]["seq"].alias("from_seq"), F.size("o").cast("bigint").alias("n"),
         F.aggregate(rest, start, step).alias("f"), F.aggregate(rest, born, step).alias("g"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("from", "n", "f", "g")))
+    ordered = F.array_sort(F.collect_list(F.struct("from", "from_seq", "n", "f", "g")))
     whole = parts.groupBy(*keys).agg(F.first("rate").alias("rate"), ordered.alias("p"))
     first = F.col("p")[0]
     compose = lambda s, p: F.struct(

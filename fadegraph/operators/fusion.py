@@ -147,7 +147,7 @@ PRESETS = {
 
 
 def hybrid_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 10, preset: str | tuple[str, ...] = "cli",
-                  vectors: DataFrame | None = None, as_of: str | None = None, hops: int = 3, minimum: float = 0.15, rounds: int = 5) -> DataFrame:
+                  vectors: DataFrame | None = None, as_of: str | None = None, hops: int = 3, minimum: float = 0.15, rounds: int = 50) -> DataFrame:
     """(label, score, sources): lists of the chosen paths fused by reciprocal rank.
 
     ``vectors`` (term, vec) feeds the hdc path; without it that list is empty.
@@ -156,10 +156,12 @@ def hybrid_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 1
     from functools import reduce
 
     from fadegraph.operators import hdc, rank, traverse
-    from fadegraph.operators.graph import AS_OF
+    from fadegraph.operators.graph import AS_OF, adjacency
 
     as_of = as_of or AS_OF
     paths = PRESETS[preset] if isinstance(preset, str) else preset
+    if {"graph", "ppr"} & set(paths):
+        edges = adjacency(edges, as_of)
     asked = [query, *query_entities(query)]
     fuzzy = reduce(DataFrame.unionByName, [fuzzy_search(nodes, q, limit) for q in asked]).groupBy("label").agg(F.max("score").alias("score"))
     named = nodes.select("node_id", "label")
@@ -168,21 +170,26 @@ def hybrid_search(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 1
         near = fuzzy.filter(F.col("score") >= least).orderBy(F.desc("score"), "label").limit(n)
         return named.join(near, "label", "left_semi").select(F.col("node_id").alias("node")).distinct()
 
-    lists = []
+    lists, done = [], {}
     for i, path in enumerate(paths):
         if path == "fuzzy":
             got = fuzzy
         elif path == "graph":
-            walked = traverse.traverse(edges, seeds(0.5, 3), hops, minimum, limit, as_of=as_of)
+            walked = traverse.traverse(edges, seeds(0.5, 3), hops, minimum, limit, paths=False, as_of=as_of)
             got = walked.join(named, F.col("node") == F.col("node_id")).groupBy("label").agg(F.max("score").alias("score"))
         elif path == "ppr":
-            ranked = rank.pagerank(edges, seeds(0.7, 5), rounds=rounds, tolerance=None, as_of=as_of).orderBy(F.desc("rank"), "node").limit(limit)
+            if "ppr" in done:  # the same list again weighs twice
+                lists.append(done["ppr"].withColumn("list_no", F.lit(i)))
+                continue
+            ranked = rank.pagerank(edges, seeds(0.7, 5), rounds=rounds, as_of=as_of).orderBy(F.desc("rank"), "node").limit(limit)
             got = ranked.join(named, F.col("node") == F.col("node_id")).groupBy("label").agg(F.max("rank").alias("score"))
         elif path == "hdc" and vectors is not None:
-            got = hdc.search_labels(vectors, query, limit)
+            every = reduce(DataFrame.unionByName, [hdc.search_labels(vectors, q, limit) for q in dict.fromkeys(a.strip().lower() for a in asked)])
+            got = every.groupBy("label").agg(F.max("score").alias("score"))
         else:
             continue
-        lists.append(as_list(got.orderBy(F.desc("score"), "label").limit(limit), i, path))
+        done[path] = as_list(got.orderBy(F.desc("score"), "label").limit(limit), i, path)
+        lists.append(done[path])
     if not lists:
         return rrf(as_list(fuzzy.limit(0), 0, "none"))
     return rrf(reduce(DataFrame.unionByName, lists)).orderBy(F.desc(F.round("score", 9)), "label").limit(limit)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadegraph.functions import channels, exprs
-from fadegraph.sources import table
+from fadegraph.sources import materialise, table
 
 UNKNOWN_TOUCH, AS_OF = "2023-01-01", "2025-07-01"
 EDGE = ["workspace", "src", "dst", "channel", "intensity", "confidence", "last_touch", "uses", "source", "label", "provenance", "ord"]
@@ -72,12 +72,46 @@ def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effective(edges: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """Edges with their effective intensity ``eff``."""
-    return edges.withColumn("eff", exprs.decayed(F.col("intensity"), F.col("channel"), F.col("last_touch"), exprs.ts(as_of)))
+    """Edges with their effective intensity ``eff``; an ``eff`` that says it is of this very moment is kept."""
+    if "eff" in edges.columns and edges.schema["eff"].metadata.get("as_of") == as_of:
+        return edges
+    return edges.withColumn("eff", exprs.decayed(F.col("intensity"), F.col("channel"), F.col("last_touch"), exprs.ts(as_of)).alias("eff", metadata={"as_of": as_of}))
+
+
+def adjacency(edges: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Edges with ``eff`` at one moment, written once for all walks that follow.
+
+    The files are sorted by channel and last_touch, so filters on both skip row groups; filters on src, dst and eff reach the scan
+    as well.  Operators that ask for another moment, or that change edges, compute ``eff`` anew.
+    """
+    return materialise(effective(edges, as_of).sortWithinPartitions("channel", "last_touch"), "adjacency")
+
+
+class AdjacencyCache:
+    """Adjacencies of one set of edges by their moment; the ``most`` last used are kept, the others deleted."""
+
+    def __init__(self, edges: DataFrame, most: int = 4):
+        self.edges, self.most, self._at = edges, most, {}
+
+    def at(self, as_of: str) -> DataFrame:
+        """The adjacency at a moment, written at the first call."""
+        from fadegraph.sources import discard
+
+        self._at[as_of] = self._at.pop(as_of, None) or adjacency(self.edges, as_of)
+        while len(self._at) > self.most:
+            discard(self._at.pop(next(iter(self._at))))
+        return self._at[as_of]
+
+    def clear(self) -> None:
+        """Forget all, as after a change of the edges."""
+        from fadegraph.sources import discard
+
+        while self._at:
+            discard(self._at.popitem()[1])
 
 
 def touched_since(channel: str, minimum: float, as_of: str) -> Column | None:
-    """A bound on last_touch every edge of at least ``minimum`` meets; it reaches the file scan.
+    """A bound on last_touch every edge of the channel of at least ``minimum`` meets; on stored edges it reaches the file scan.
 
     Intensities are at most 1, so eff >= m needs last_touch >= as_of - ln(1/m)/tau hours; a
     second is added because time counts in whole seconds.

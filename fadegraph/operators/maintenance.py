@@ -49,7 +49,7 @@ def reinforce(edges: DataFrame, as_of: str, where=None) -> DataFrame:
     """Edges with those that meet ``where`` (all by default) reinforced at ``as_of``."""
     hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
     new = exprs.reinforced(F.col("intensity"), F.col("channel"), F.col("last_touch"), exprs.ts(as_of))
-    return edges.withColumns({
+    return edges.drop("eff").withColumns({
         "intensity": F.when(hit, new).otherwise(F.col("intensity")),
         "last_touch": F.when(hit, exprs.ts(as_of)).otherwise(F.col("last_touch")),
         "uses": F.col("uses") + hit.cast("bigint"),
@@ -63,7 +63,7 @@ def _between(src: str, dst: str):
 def correct(edges: DataFrame, src: str, dst: str, confidence: float) -> DataFrame:
     """Confidence and intensity of all edges of a pair set, and the edges marked as validated; last_touch stays."""
     c, hit = min(1.0, max(0.0, confidence)), _between(src, dst)
-    return edges.withColumns({
+    return edges.drop("eff").withColumns({
         "confidence": F.when(hit, c).otherwise(F.col("confidence")), "intensity": F.when(hit, c).otherwise(F.col("intensity")),
         "provenance": F.when(hit, "ai_validated").otherwise(F.col("provenance")),
     })
@@ -136,6 +136,7 @@ def apply_upserts(edges: DataFrame, upserted: DataFrame) -> DataFrame:
     keys = ["src", "dst", "channel"]
     new = upserted.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("ts"), F.first("confidence").alias("c"))
     new = new.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", "ts", "c")
+    edges = edges.drop("eff")
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     both = edges.join(new, on, "full")
     known, hit = F.col("src").isNotNull(), F.col("n").isNotNull()
@@ -154,7 +155,7 @@ def apply_upserts(edges: DataFrame, upserted: DataFrame) -> DataFrame:
 
 def set_touch(edges: DataFrame, source: str, when: str) -> DataFrame:
     """Edges of one source with their last touch set."""
-    return edges.withColumn("last_touch", F.when(F.col("source") == source, exprs.ts(when)).otherwise(F.col("last_touch")))
+    return edges.drop("eff").withColumn("last_touch", F.when(F.col("source") == source, exprs.ts(when)).otherwise(F.col("last_touch")))
 
 
 def between(nodes: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:

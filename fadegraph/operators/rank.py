@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fadegraph.operators.graph import AS_OF, effective
 from fadegraph.operators.traverse import degrees
-from fadegraph.sources import materialise
+from fadegraph.sources import discard, materialise
 
 CUT = 5
 
@@ -34,16 +34,18 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: in
     start = seeds if "weight" in seeds.columns else seeds.withColumn("weight", F.lit(1.0))
     start = start.groupBy("node").agg(F.max("weight").alias("weight"))
     home = materialise(start.withColumn("home", F.col("weight") / start.agg(F.sum("weight")).scalar()).select("node", "home"), "home")
-    rank = home.select("node", F.col("home").alias("rank"))
+    rank = old = home.select("node", F.col("home").alias("rank"))
     for k in count(1) if rounds is None else range(1, rounds + 1):
         moved = rank.join(moves, rank.node == moves.src).select(F.col("dst").alias("node"), ((1 - alpha) * F.col("rank") * F.col("p")).alias("rank"))
         new = moved.unionByName(home.select("node", (alpha * F.col("home")).alias("rank"))).groupBy("node").agg(F.sum("rank").alias("rank"))
         if tolerance is not None:
-            new = materialise(new, "rank")
-            moved_by = new.select("node", "rank").unionByName(rank.select("node", (-F.col("rank")).alias("rank"))).groupBy("node").agg(
-                F.abs(F.sum("rank")).alias("d")
-            ).agg(F.sum("d")).first()[0]
-            rank = new
+            # the change rides along, so one shuffle gives both
+            both = moved.withColumn("was", F.lit(0.0)).unionByName(home.select("node", (alpha * F.col("home")).alias("rank"), F.lit(0.0).alias("was"))).unionByName(
+                rank.select("node", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
+            new = materialise(both.groupBy("node").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "rank")
+            moved_by = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            discard(old)
+            old, rank = new, new.select("node", "rank")
             if (moved_by or 0.0) < tolerance:
                 break
             if k == rounds:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fadegraph.functions import channels, exprs
 from fadegraph.operators import community, fold, maintenance, rank, traverse
-from fadegraph.operators.graph import AS_OF, effective, kg_edges, kg_nodes, observed_edges
+from fadegraph.operators.graph import AS_OF, adjacency, effective, kg_edges, kg_nodes, observed_edges
 from fadegraph.plans.base_sql import AS_OF as T
 from fadegraph.plans.base_sql import DELTA, EDGES, GRAPH, TAU
 from fadegraph.sources import table
@@ -39,7 +39,14 @@ _HUB = "hub AS (SELECT src AS node FROM kg_eff WHERE channel <> 'alarm' AND eff
 
 def hub(edges: DataFrame) -> DataFrame:
     """(node): the source with most live out-edges."""
-    return traverse.walkable(edges).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(1).select(F.col("src").alias("node"))
+    top = traverse.walkable(edges).groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first()
+    one = edges.sparkSession.range(1 if top else 0)
+    return one.select(F.lit(top.src if top else None).cast("string").alias("node"))
+
+
+def walks(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, written once for a query that reads them more than once."""
+    return adjacency(kg_edges(spark, d))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, channel, round(eff, 6) AS eff FROM kg_eff")
@@ -131,16 +138,14 @@ SELECT src, dst, channel, round(x, 6) AS intensity, n AS uses FROM l WHERE rn =
 def edge_upsert_fold(spark: SparkSession, d: str) -> DataFrame:
     """Edges as repeated upserts leave them: the first inserts, later ones reinforce."""
     e = observed_edges(table(spark, d, "edges")).withColumnsRenamed({"last_touch": "ts", "ord": "seq"})
-    return fold.fold_edges(e, ["src", "dst", "channel"], 3650).select("src", "dst", "channel", _r("intensity"), "uses")
+    return fold.fold_edges(e, ["src", "dst", "channel"]).select("src", "dst", "channel", _r("intensity"), "uses")
 
 
 @query(f"WITH {EDGES}, {_HUB} SELECT dst, channel, round(eff, 6) AS eff FROM kg_eff, hub WHERE src = node AND channel IN ('derives_de', 'causal') AND eff >= 0.1")
 def neighbors_channel(spark: SparkSession, d: str) -> DataFrame:
     """Out-neighbours of the busiest node over two channels."""
-    e = kg_edges(spark, d)
-    h = hub(e)
-    live = effective(e).filter(F.col("channel").isin("derives_de", "causal") & (F.col("eff") >= 0.1))
-    return live.join(h, live.src == h.node, "left_semi").select("dst", "channel", _r("eff"))
+    e = walks(spark, d)
+    return traverse.neighbours(e, hub(e), ["derives_de", "causal"], 0.1).select("dst", "channel", _r("eff"))
 
 
 @query(f"WITH {EDGES} SELECT channel, count(*) AS n FROM kg_eff WHERE channel <> 'alarm' AND eff >= 0.15 GROUP BY channel")
@@ -205,7 +210,7 @@ a AS (SELECT node, 0 AS h FROM hub UNION ALL SELECT node, 1 FROM h1 UNION ALL SE
 SELECT node, min(h)::INT AS hops FROM a GROUP BY node""")
 def khop_undirected(spark: SparkSession, d: str) -> DataFrame:
     """Nodes within two hops of the busiest, whatever the direction."""
-    e = kg_edges(spark, d)
+    e = walks(spark, d)
     return traverse.khop(e, hub(e), 2)
 
 
@@ -222,8 +227,8 @@ _WALK = """, w AS (
 @query(GRAPH + ", " + _HUB + _WALK.format(start="hub", hops=2, least=0.15, more="") + "SELECT seed, node, round(score, 6) AS score, hops::INT AS hops FROM best WHERE rn = 1")
 def traverse_2hop(spark: SparkSession, d: str) -> DataFrame:
     """Best products of intensities within two hops of the busiest node."""
-    e = kg_edges(spark, d)
-    return traverse.traverse(e, hub(e), 2, limit=None).select("seed", "node", _r("score"), "hops")
+    e = walks(spark, d)
+    return traverse.traverse(e, hub(e), 2, limit=None, paths=False).select("seed", "node", _r("score"), "hops")
 
 
 @query(GRAPH + ", s AS (SELECT DISTINCT src AS node FROM kg_eff WHERE channel = 'derives_de' AND eff >= 0.15)"
@@ -232,9 +237,9 @@ def traverse_2hop(spark: SparkSession, d: str) -> DataFrame:
        + " SELECT seed, node, round(score, 6) AS score, hops::INT AS hops FROM best WHERE rn = 1")
 def traverse_3hop_channel(spark: SparkSession, d: str) -> DataFrame:
     """Three hops over derivations from every node that has one."""
-    e = kg_edges(spark, d)
+    e = walks(spark, d)
     starts = traverse.walkable(e, ["derives_de"]).select(F.col("src").alias("node")).distinct()
-    return traverse.traverse(e, starts, 3, limit=None, channels=["derives_de"]).select("seed", "node", _r("score"), "hops")
+    return traverse.traverse(e, starts, 3, limit=None, paths=False, channels=["derives_de"]).select("seed", "node", _r("score"), "hops")
 
 
 @query(GRAPH + ", " + _HUB + """, e AS (SELECT src, dst, max(eff) AS eff FROM kg_eff WHERE channel <> 'alarm' AND eff >= 0.05 GROUP BY 1, 2),
@@ -247,19 +252,10 @@ SELECT path, score, hops FROM (SELECT array_to_string(path, '>') AS path, round(
   WHERE NOT list_contains(path[1:-2], g.node)) ORDER BY score DESC, path LIMIT 3""")
 def explain_paths(spark: SparkSession, d: str) -> DataFrame:
     """The three strongest simple paths from the busiest node to the one most paths reach."""
-    e = kg_edges(spark, d)
+    e = walks(spark, d)
     start = hub(e).first()
-    if start is None:
-        return traverse.explain_paths(e, "", "")
-    live = traverse.walkable(e, minimum=0.05).groupBy("src", "dst").agg(F.max("eff").alias("eff"))
-    level = live.filter(F.col("src") == start.node).filter("src <> dst").select(F.col("dst").alias("node"), F.col("eff").alias("s"), F.array("src", "dst").alias("path"))
-    every = level
-    for _ in range(2):
-        level = level.join(live, level.node == live.src).filter((F.col("s") * F.col("eff") >= 0.05) & ~F.array_contains("path", F.col("dst"))).select(
-            F.col("dst").alias("node"), (F.col("s") * F.col("eff")).alias("s"), F.array_append("path", F.col("dst")).alias("path"))
-        every = every.unionByName(level)
-    goal = every.groupBy("node").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").first()
-    return traverse.explain_paths(e, start.node, goal.node if goal else "").withColumn("score", _r("score"))
+    goal = traverse.reached_most(e, start.node).first() if start else None
+    return traverse.explain_paths(e, start.node if start else "", goal.node if goal else "").withColumn("score", _r("score"))
 
 
 @query(GRAPH + """, c AS (SELECT node_id, label, CASE WHEN label = 'Relay' THEN 1 WHEN lower(label) = 'relay' THEN 2 WHEN contains(lower(label), 'relay') THEN 3
@@ -292,14 +288,14 @@ SELECT node, round(rank, 6) AS rank FROM r{rounds} WHERE rank > 1e-8"""
 @query(_ppr_sql(5))
 def ppr_k5(spark: SparkSession, d: str) -> DataFrame:
     """Five rounds of Personalized PageRank from the busiest node."""
-    e = kg_edges(spark, d)
+    e = walks(spark, d)
     return rank.pagerank(e, hub(e), rounds=5, tolerance=None).withColumn("rank", _r("rank"))
 
 
 @query()
 def ppr_converged(spark: SparkSession, d: str) -> DataFrame:
     """Personalized PageRank until a round changes it by less than 1e-6."""
-    e = kg_edges(spark, d)
+    e = walks(spark, d)
     return rank.pagerank(e, hub(e), rounds=None).withColumn("rank", _r("rank"))
 
 
@@ -313,7 +309,16 @@ def modularity_fixed_partition(spark: SparkSession, d: str) -> DataFrame:
     return community.modularity(e, parts).withColumn("q", _r("q"))
 
 
-@query()
+def _components_sql(rounds: int) -> str:
+    step = "".join(
+        f", c{k} AS MATERIALIZED (SELECT c.node, least(c.component, min(n.component)) AS component FROM c{k - 1} c JOIN b ON b.src = c.node JOIN c{k - 1} n ON n.node = b.dst GROUP BY c.node, c.component)"
+        for k in range(1, rounds + 1)
+    )
+    return f"""WITH {EDGES}, b AS MATERIALIZED (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges),
+c0 AS (SELECT DISTINCT src AS node, src AS component FROM b){step} SELECT node, component FROM c{rounds}"""
+
+
+@query(_components_sql(40))
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     """The connected part of each node."""
     return community.components(kg_edges(spark, d))
@@ -336,7 +341,7 @@ def reinforce_causal(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EDGES}, {_HUB} SELECT e.src, e.dst, e.channel FROM kg_edges e, hub WHERE e.src <> node AND e.dst <> node""")
 def forget_node(spark: SparkSession, d: str) -> DataFrame:
     """Edges left when the busiest node is forgotten."""
-    e = kg_edges(spark, d)
+    e = walks(spark, d)
     h = hub(e).first()
     return maintenance.forget(kg_nodes(spark, d), e, h.node if h else "")[1].select("src", "dst", "channel")
 
