@@ -206,12 +206,18 @@ def unfilled(seg: Column) -> Column:
     return seg.rlike(_MARK) & _without_code(seg).rlike(_placeholder()) & ~seg.rlike(TALK)
 
 
-def strength(norm: Column) -> Column:
-    """0 to 2: how strong the signs of a message are in normalised words."""
+def repeated(norm: Column, words: Column) -> Column:
+    """Whether up to four words stand three times running; only where two words or more occur again it is looked for."""
+    distinct = F.size(F.array_distinct(F.split(F.trim(norm), " ")))
+    return F.when(words >= distinct + 2, norm.rlike(_AGAIN)).otherwise(False)
+
+
+def strength(norm: Column, again: Column) -> Column:
+    """0 to 2: how strong the signs of a message are in normalised words, of which some may be repeated."""
     has = lambda *c: norm.rlike(_begins(*c))
     phrase = norm.rlike(f"(?<= ){_tree(_whole(), True)}(?= )")
     latin = norm.rlike(rf"(?<= )(?:{_tree(LATIN, True)} ){{4}}")
-    strong = phrase | latin | norm.rlike(_AGAIN) | (has("thing") & has("failure")) | (has("script") & has("switch"))
+    strong = phrase | latin | again | (has("thing") & has("failure")) | (has("script") & has("switch"))
     return F.when(strong, 2).when(has(*CLASSES) | norm.rlike(f"(?<= ){_tree(LATIN, True)} "), 1).otherwise(0)
 
 
@@ -225,11 +231,12 @@ def own_words(norm: Column) -> Column:
 
 def _rows(docs: DataFrame, doc_id: str, text: str, source: str | None) -> DataFrame:
     """One row per segment, written: id, key, source, h and m (its hash), words, own (words not taken away), power, open."""
-    s = segments(docs, doc_id, text, source)
-    sign = F.col("norm").rlike(_SIGN) | F.col("norm").rlike(_AGAIN)
+    s = segments(docs, doc_id, text, source).withColumn("again", repeated(F.col("norm"), F.col("words")))
+    s = s.withColumn("sign", F.col("again") | F.col("norm").rlike(_SIGN))
+    sign = F.col("sign")
     s = s.select(
         "id", "key", "source", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(7), "norm").alias("m"), "words",
-        F.when(sign, strength(F.col("norm"))).otherwise(0).alias("power"),
+        F.when(sign, strength(F.col("norm"), F.col("again"))).otherwise(0).alias("power"),
         F.when(F.col("seg").rlike(_SHAPE), 0).when(sign, own_words(F.col("norm"))).otherwise(F.col("words")).alias("own"),
         unfilled(F.col("seg")).alias("open"),
     )
@@ -279,8 +286,8 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 def messages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(message, n, sources): masked segments with a strong sign or an open field, found at least ``RECUR`` times."""
-    s = segments(docs, doc_id, text, source)
-    sign = (F.col("norm").rlike(_SIGN) | F.col("norm").rlike(_AGAIN)) & (strength(F.col("norm")) == 2)
+    s = segments(docs, doc_id, text, source).withColumn("again", repeated(F.col("norm"), F.col("words")))
+    sign = (F.col("again") | F.col("norm").rlike(_SIGN)) & (strength(F.col("norm"), F.col("again")) == 2)
     told = s.filter(sign | unfilled(F.col("seg"))).select(_masked(F.col("seg")).alias("message"), "source")
     by_source = told.groupBy("message", "source").agg(F.count("*").alias("n"))
     return by_source.groupBy("message").agg(F.sum("n").alias("n"), F.count("source").alias("sources")).filter(F.col("n") >= RECUR)
