@@ -47,9 +47,26 @@ class Engine:
         return cls(spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA), texts.workspace_name(workspace))
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, workspace: str = "commons") -> Engine:
-        """The graph of the tables nodes and edges of a folder."""
-        return cls(kg_nodes(spark, folder).select(*NODE), kg_edges(spark, folder).select(*EDGE), workspace)
+    def open(cls, spark: SparkSession, folder: str, workspace: str | None = None) -> Engine:
+        """The graph of the tables nodes and edges of a folder: of one workspace, or of all (new nodes then go to ``commons``)."""
+        n, e = kg_nodes(spark, folder).select(*NODE), kg_edges(spark, folder).select(*EDGE)
+        if workspace is not None:
+            n, e = n.filter(F.col("workspace") == workspace), e.filter(F.col("workspace") == workspace)
+        return cls(n, e, texts.workspace_name(workspace or "commons"))
+
+    @staticmethod
+    def workspaces(spark: SparkSession, root: str) -> list[str]:
+        """Names of the workspaces with snapshots under a root."""
+        return texts.workspaces(spark, root)
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, workspace: str) -> Engine:
+        """A new workspace under a root, saved empty; an error if it is there."""
+        if workspace in texts.workspaces(spark, root):
+            raise FileExistsError(workspace)
+        made = cls.empty(spark, workspace)
+        made.save(root, 0)
+        return made
 
     @classmethod
     def load(cls, spark: SparkSession, root: str, workspace: str, version: int | None = None) -> Engine:
@@ -79,20 +96,32 @@ class Engine:
     def _spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
-    def _id(self, label: str | Column) -> Column:
-        return exprs.node_id(F.lit(self.workspace), F.lit(label) if isinstance(label, str) else label)
+    def _id(self, label: Column) -> Column:
+        return exprs.node_id(F.lit(self.workspace), label)
+
+    def _known(self) -> DataFrame:
+        """(label, known): the node of each label, the smallest id where several workspaces have it."""
+        return self.nodes.groupBy("label").agg(F.min("node_id").alias("known"))
+
+    def _pair(self, src: str, dst: str) -> Column:
+        """The edges between two labels; an error where one names no node."""
+        return (F.col("src") == self._one(src)) & (F.col("dst") == self._one(dst))
 
     def _observed(self, nodes: DataFrame, edges: DataFrame, as_of: str, source: str) -> Engine:
         """With observed nodes (label, kind, tags) and edges (src, dst as labels, channel, confidence)."""
         t = exprs.ts(as_of)
         first = nodes.filter("label IS NOT NULL").groupBy("label").agg(F.first("kind").alias("kind"), F.array_distinct(F.flatten(F.collect_set("tags"))).alias("tags"))
-        seen = first.select(self._id(F.col("label")).alias("i"), F.col("label").alias("l"), F.col("kind").alias("k"), F.col("tags").alias("g"))
+        known = self._known()
+        seen = first.join(known, "label", "left").select(F.coalesce("known", self._id(F.col("label"))).alias("i"), F.col("label").alias("l"), F.col("kind").alias("k"), F.col("tags").alias("g"))
         none = F.array().cast("array<string>")
         n = self.nodes.join(seen, F.col("node_id") == F.col("i"), "full").select(
             F.coalesce("workspace", F.lit(self.workspace)).alias("workspace"), F.coalesce("node_id", "i").alias("node_id"), F.coalesce("label", "l").alias("label"),
             F.coalesce("kind", "k").alias("kind"), F.coalesce("created_at", t).alias("created_at"), F.when(F.col("i").isNotNull(), t).otherwise(F.col("last_seen")).alias("last_seen"),
             F.array_union(F.coalesce("tags", none), F.coalesce("g", none)).alias("tags"), "meta", F.coalesce("ord", F.xxhash64("i")).alias("ord"))
-        up = edges.select(self._id(F.col("src")).alias("src"), self._id(F.col("dst")).alias("dst"), "channel", F.col("confidence").cast("double").alias("confidence")).withColumn("ts", t)
+        ends = lambda c: known.select(F.col("label").alias(c), F.col("known").alias(f"k_{c}"))
+        up = edges.join(ends("src"), "src", "left").join(ends("dst"), "dst", "left").select(
+            F.coalesce("k_src", self._id(F.col("src"))).alias("src"), F.coalesce("k_dst", self._id(F.col("dst"))).alias("dst"), "channel",
+            F.col("confidence").cast("double").alias("confidence")).withColumn("ts", t)
         e = maintenance.apply_upserts(self.edges, up)
         e = e.withColumns({
             "workspace": F.coalesce("workspace", F.lit(self.workspace)), "source": F.coalesce("source", F.lit(source)),
@@ -144,24 +173,20 @@ class Engine:
 
     def reinforce(self, src: str, dst: str, as_of: str) -> Engine:
         """All edges of a pair reinforced."""
-        hit = (F.col("src") == self._id(src)) & (F.col("dst") == self._id(dst))
-        return replace(self, edges=maintenance.reinforce(self.edges, as_of, hit))
+        return replace(self, edges=maintenance.reinforce(self.edges, as_of, self._pair(src, dst)))
 
     def correct(self, src: str, dst: str, confidence: float, reason: str, as_of: str) -> Engine:
         """A pair's confidence set, and a warning that says why."""
-        c, hit = min(1.0, max(0.0, confidence)), (F.col("src") == self._id(src)) & (F.col("dst") == self._id(dst))
-        e = self.edges.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in (("confidence", c), ("intensity", c), ("provenance", "ai_validated"))})
+        e = maintenance.correct(self.edges, self._one(src), self._one(dst), confidence)
         return replace(self, edges=e)._literals([(src, "entity", []), (f"correction: {reason}", "warning", [])], [(src, f"correction: {reason}", "alarm", 0.8)], as_of, "correct")
 
     def validate(self, src: str, dst: str, as_of: str) -> Engine:
         """A pair's edges reinforced and marked as validated."""
-        hit = (F.col("src") == self._id(src)) & (F.col("dst") == self._id(dst))
-        e = maintenance.reinforce(self.edges, as_of, hit)
-        return replace(self, edges=e.withColumn("provenance", F.when(hit, "ai_validated").otherwise(F.col("provenance"))))
+        return replace(self, edges=maintenance.validate(self.edges, self._one(src), self._one(dst), as_of))
 
     def _one(self, label: str) -> str:
-        row = self.nodes.filter(F.col("label") == label).select("node_id").first()
-        if row is None:
+        row = self.nodes.filter(F.col("label") == label).agg(F.min("node_id").alias("node_id")).first()
+        if row.node_id is None:
             raise KeyError(label)
         return row.node_id
 
@@ -203,7 +228,7 @@ class Engine:
 
     def show(self, label: str, as_of: str) -> DataFrame:
         """A node's edges, out and in, with what they weigh."""
-        i = self._id(label)
+        i = self._one(label)
         e = effective(self.edges.filter((F.col("src") == i) | (F.col("dst") == i)), as_of)
         return e.select("src", "dst", "channel", "eff", "confidence", "uses", "source").orderBy(F.desc("eff"), "src", "dst")
 
@@ -222,9 +247,24 @@ class Engine:
         return traverse.explain_paths(self.edges, self._one(src), self._one(dst), hops, 0.05, k, as_of=as_of)
 
     def cypher(self, query: str, as_of: str, strict: bool = False) -> DataFrame:
-        """A Cypher statement's rows or changes."""
+        """The rows of a Cypher statement that returns; one that writes is for ``update``."""
+        if not cypher.parse(query).returns:
+            raise cypher.CypherError("a statement that writes is for update()")
         return cypher.run(query, self.nodes, self.edges, as_of, strict)
 
+    def update(self, query: str, as_of: str, strict: bool = False) -> Engine:
+        """This graph after a CREATE, DELETE or SET."""
+        n, e = cypher.update(query, self.nodes, self.edges, as_of, strict)
+        return replace(self, nodes=n.select(*NODE), edges=e.select(*EDGE))
+
+    def between(self, src: str, dst: str) -> DataFrame:
+        """(channel, confidence, uses) of the edges between two labels."""
+        return maintenance.between(self.nodes, self.edges, src, dst)
+
+    def labels(self) -> DataFrame:
+        """All labels in order of insertion."""
+        return self.nodes.orderBy("ord", "node_id").select("label")
+
     def pagerank(self, labels: list[str], as_of: str, **options) -> DataFrame:
         """Personalized PageRank from labels."""
         seeds = self.nodes.filter(F.col("label").isin(*labels)).select(F.col("node_id").alias("node"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fadegraph.functions import exprs
+from fadegraph.operators.text import capital_runs
 
 K = 60
 
@@ -114,17 +115,8 @@ def query_entities(query: str) -> list[str]:
         add((quoted[1] or quoted[2] or "").strip())
     words = [re.sub(r"^[^\w]+|[^\w]+$", "", w).strip("_") for w in query.split()]
     capital = lambda w: bool(w) and w[0].isupper()
-    i = 0
-    while i < len(words):
-        if not capital(words[i]) or words[i].lower() in QUERY_STOP:
-            i += 1
-            continue
-        run = [words[i]]
-        i += 1
-        while i < len(words) and (capital(words[i]) or (words[i].lower() in JOINERS and i + 1 < len(words) and capital(words[i + 1]))):
-            run.append(words[i])
-            i += 1
-        add(" ".join(run))
+    for i, j in capital_runs(words, QUERY_STOP, JOINERS):
+        add(" ".join(words[i:j]))
     for w in words:
         if len(w.encode()) >= 4 and w.lower() not in QUERY_STOP and not any(w.lower() in e.lower() for e in found):
             found.append(w)

@@ -84,6 +84,34 @@ def encode_sentences(sents: DataFrame, vectors: DataFrame, idf: DataFrame) -> Da
     return s.join(norm, "sent").filter("norm > 0").select("sent", "dim", (F.col("val") / F.col("norm")).alias("val"))
 
 
+def search(encoded: DataFrame, sent, k: int = 10) -> DataFrame:
+    """(sent, score): the encoded sentences most like one of them (its id, a value or a column), itself left out."""
+    q = encoded.filter(F.col("sent") == sent).select("dim", F.col("val").alias("q"))
+    return encoded.filter(F.col("sent") != sent).join(q, "dim").groupBy("sent").agg(F.sum(F.col("val") * F.col("q")).alias("score")).orderBy(F.desc(F.round("score", 9)), "sent").limit(k)
+
+
+def similarity(a: str, b: str, neural: DataFrame, context: DataFrame, name: str = "term", vec: str = "vec") -> DataFrame:
+    """(score): likeness of two keys: dense cosine if both have a neural vector, else the sparse one of their context vectors, 0 without."""
+    x, y = a.strip().lower(), b.strip().lower()
+    one = lambda k, c: neural.filter(F.lower(name) == k).agg(F.min_by(vec, name).alias(c))
+    dense = one(x, "va").select("va", one(y, "vb").scalar().alias("vb"))
+    sparse = context.filter(F.col("token") == x).select("dim", F.col("val").alias("p")).join(context.filter(F.col("token") == y).select("dim", F.col("val").alias("q")), "dim").agg(F.sum(F.col("p") * F.col("q")))
+    both = F.col("va").isNotNull() & F.col("vb").isNotNull() & (F.size("va") == F.size("vb"))
+    return dense.select(F.when(both, exprs.cosine(F.col("va"), F.col("vb"))).otherwise(F.coalesce(sparse.scalar(), F.lit(0.0))).alias("score"))
+
+
+def save_vectors(context: DataFrame, neural: DataFrame, frequency: DataFrame, path: str) -> None:
+    """A snapshot of vectors and document frequencies; a path is written once."""
+    context.repartition("token").sortWithinPartitions("token", "dim").write.parquet(f"{path}/context")
+    neural.write.parquet(f"{path}/neural")
+    frequency.write.parquet(f"{path}/frequency")
+
+
+def load_vectors(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Context vectors, neural vectors and frequencies of a snapshot."""
+    return tuple(spark.read.parquet(f"{path}/{x}") for x in ("context", "neural", "frequency"))
+
+
 def dense_top(vectors: DataFrame, query_vec: list[float], k: int, name: str = "term", vec: str = "vec") -> DataFrame:
     """(name, score): dense cosine with one query vector, best first."""
     q = F.array(*map(F.lit, map(float, query_vec)))

@@ -128,14 +128,19 @@ def upserts(spark, rows: list[tuple], as_of: str) -> DataFrame:
     return df.withColumn("channel", channels.canonical(F.col("channel"))).withColumn("ts", exprs.ts(as_of))
 
 
-def apply_upserts(edges: DataFrame, upserted: DataFrame) -> DataFrame:
-    """Edges after the observations: a known edge is reinforced (confidence stays), another is new.
+def apply_upserts(edges: DataFrame, upserted: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Edges after the observations: a known edge is reinforced (confidence stays, a null label is filled), another is new.
 
-    Repeated observations of one pair and channel at one time count once each, in order.
+    Repeated observations of one pair and channel at one time count once each, in order.  With ``nodes`` an observation of which an
+    end is missing there is refused.
     """
     keys = ["src", "dst", "channel"]
-    new = upserted.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("ts"), F.first("confidence").alias("c"))
-    new = new.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", "ts", "c")
+    if nodes is not None:
+        for end in ("src", "dst"):
+            upserted = upserted.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+    extra = {c: F.max(c).alias(f"_{c}") if c in upserted.columns else F.lit(None).cast("string").alias(f"_{c}") for c in ("label", "source")}
+    new = upserted.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("ts"), F.first("confidence").alias("c"), *(e for c, e in extra.items() if c in upserted.columns))
+    new = new.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", "ts", "c", *(F.col(f"_{c}") if c in upserted.columns else e for c, e in extra.items()))
     edges = edges.drop("eff")
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     both = edges.join(new, on, "full")
@@ -149,10 +154,26 @@ def apply_upserts(edges: DataFrame, upserted: DataFrame) -> DataFrame:
         F.coalesce("confidence", exprs.clamped(F.col("c"))).alias("confidence"),
         F.when(hit, F.col("ts")).otherwise(F.col("last_touch")).alias("last_touch"),
         (F.coalesce("uses", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("uses"),
-        *(F.col(c) for c in edges.columns if c not in (*keys, "intensity", "confidence", "last_touch", "uses")),
+        *(F.coalesce(c, f"_{c}").alias(c) if c == "label" or c == "source" else F.col(c)
+          for c in edges.columns if c not in (*keys, "intensity", "confidence", "last_touch", "uses")),
     )
 
 
+def set_properties(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Nodes after changes (node_id, key, value): ``tags`` and ``tag`` add to the tags, any other key is set in meta; of several values of a key the largest holds."""
+    one = changes.filter("key IS NOT NULL").groupBy("node_id", "key").agg(F.max("value").alias("value")).groupBy("node_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("key").isin("tag", "tags"), F.col("value")))).alias("_tags"),
+        F.map_from_entries(F.collect_list(F.when(~F.col("key").isin("tag", "tags"), F.struct("key", "value")))).alias("_set"))
+    none = F.array().cast("array<string>")
+    held = F.coalesce(F.from_json("meta", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(held, lambda k, v: ~F.map_contains_key("_set", k))
+    merged = F.map_filter(F.map_concat(kept, F.col("_set")), lambda k, v: v.isNotNull())
+    return nodes.join(one, "node_id", "left").withColumns({
+        "tags": F.when(F.size("_tags") > 0, F.array_union(F.coalesce("tags", none), F.col("_tags"))).otherwise(F.col("tags")),
+        "meta": F.when(F.size("_set") > 0, F.to_json(merged)).otherwise(F.col("meta")),
+    }).select(*nodes.columns)
+
+
 def set_touch(edges: DataFrame, source: str, when: str) -> DataFrame:
     """Edges of one source with their last touch set."""
     return edges.drop("eff").withColumn("last_touch", F.when(F.col("source") == source, exprs.ts(when)).otherwise(F.col("last_touch")))

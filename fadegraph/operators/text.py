@@ -1,7 +1,6 @@
 """From text to triplets: sentences, chunks, patterns, named entities, code symbols.
 
-Everything but the entity scan, which carries state from word to word, stays in
-the JVM; the scan and the repair of model answers are Arrow-batched.
+Everything stays in the JVM but the repair of model answers, which is Arrow-batched.
 """
 from __future__ import annotations
 
@@ -58,26 +57,29 @@ def matches(text: Column, pattern: str, no: int, channel: str) -> Column:
         head, rest = pattern.split(")\\s+(", 1) if ")\\s+(" in pattern else (pattern, "")
         pattern = r"(?:(?<!\S)|\G)" + head.replace(r"\S+", r"\S++") + (")\\s+(" + rest if rest else "")
     p = F.lit(f"(?iud){pattern}")
-    both = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(1)).alias("s"), F.regexp_extract_all(text, p, F.lit(2)).alias("o"))
     tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+\z|\A\s+", ""))
-    return F.transform(both, lambda m, i: F.struct(
-        F.lit(no).alias("no"), i.alias("pos"), tidy(m["s"]).alias("subject"),
-        F.coalesce(F.nullif(tidy(m["o"]), F.lit("")), F.lit(WARNING)).alias("object"), F.lit(channel).alias("channel"),
+    # the text is searched once; both groups are read from the short match, which ends where the match did
+    return F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m, i: F.struct(
+        F.lit(no).alias("no"), i.alias("pos"), tidy(F.regexp_extract(m, f"(?iud){pattern}", 1)).alias("subject"),
+        F.coalesce(F.nullif(tidy(F.regexp_extract(m, f"(?iud){pattern}", 2)), F.lit("")), F.lit(WARNING)).alias("object"), F.lit(channel).alias("channel"),
     ))
 
 
-def triplets(text: Column) -> Column:
-    """All triplets of a text in order of pattern and place."""
-    every = F.flatten(F.array(*(
-        F.when(text.rlike(f"(?iu){TRIGGERS[i]}"), matches(text, p, i + 1, c)).otherwise(F.filter(matches(F.lit(""), p, i + 1, c), lambda m: F.lit(False)))
-        for i, (p, c) in enumerate(PATTERNS)
-    )))
+_ANY = "|".join(TRIGGERS)
+
+
+def triplets(text: Column, low: Column | None = None) -> Column:
+    """All triplets of a text in order of pattern and place; ``low`` is the text in lower case, where it is at hand."""
+    low = F.lower(text) if low is None else low
+    none = F.array().cast("array<struct<no:int,pos:int,subject:string,object:string,channel:string>>")
+    every = F.flatten(F.array(*(F.when(low.rlike(TRIGGERS[i]), matches(text, p, i + 1, c)).otherwise(none) for i, (p, c) in enumerate(PATTERNS))))
     return F.filter(every, lambda t: t["subject"] != "")
 
 
 def extract_triplets(chunks: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep, seq, subject, object, channel of each triplet of each chunk; a repetition of the one before is left out."""
-    every = chunks.filter(F.col(text).isNotNull()).select(*keep, triplets(F.col(text)).alias("_t")).filter(F.size("_t") > 0)
+    told = chunks.filter(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_c"), F.lower(text).alias("_l")).filter(F.col("_l").rlike(_ANY))
+    every = told.select(*keep, triplets(F.col("_c"), F.col("_l")).alias("_t")).filter(F.size("_t") > 0)
     bare = lambda t: F.struct(t["subject"].alias("subject"), t["object"].alias("object"), t["channel"].alias("channel"))
     kept = F.filter("_t", lambda t, i: (i == 0) | (bare(t) != bare(F.get("_t", i - 1))))
     t = every.select(*keep, F.posexplode(kept).alias("seq", "t"))
@@ -90,53 +92,52 @@ def chunks(docs: DataFrame, doc_id: str, text: str, size: int = 5, overlap: int
     return docs.filter(F.col(text).isNotNull()).select(doc_id, F.posexplode(windows).alias("chunk_no", "text"))
 
 
-def _bare(word: str) -> str:
-    a, b = 0, len(word)
-    ok = lambda c: c.isalnum() or c in "'-"
-    while a < b and not ok(word[a]):
-        a += 1
-    while b > a and not ok(word[b - 1]):
-        b -= 1
-    return word[a:b]
+#: A run of a name: a capitalised word, then words of a name, or a connective and any capitalised word.
+#: Each word stands as a letter for what it is, two flags and itself.  N: part of a name; M: the same and a connective;
+#: S: a capitalised stop word; T: the same and a connective; k: a small connective; o: anything else.
+_RUN = r"(?m)^[NM][^\n]*\n(?:[MTk][^\n]*\n[NMST][^\n]*\n|[NM][^\n]*\n)*"
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: written out in a lambda it would be computed for each element."""
+    return F.transform(F.array(value), then)[0]
+
 
+def _first_writings(names: Column) -> Column:
+    """Each name once whatever its case, as first written."""
+    return _let(F.transform(names, lambda n: F.struct(n.alias("n"), F.lower(n).alias("l"))), lambda a: _let(
+        F.transform(a, lambda x: x["l"]), lambda lows: F.transform(F.filter(a, lambda x, i: F.array_position(lows, x["l"]) == i + 1), lambda x: x["n"])))
 
-def named_entities(text: str | None) -> list[str]:
-    """Capitalised runs of a text, each once whatever its case.
 
-    Connectives join two capitalised words; a run starts at no stop word; a single
-    word needs four bytes and a place inside its sentence.
+def ner(text: Column | str) -> Column:
+    """Named entities of a text: its capitalised runs in order, each once whatever its case.
+
+    Connectives join two capitalised words; a run starts at no stop word; a single word needs four bytes and a place inside its sentence.
     """
-    raw = (text or "").split()
-    bare = [_bare(w) for w in raw]
-    name = lambda w: bool(w) and w[0].isupper() and w.lower() not in STOPWORDS
-    found: dict[str, str] = {}
-    i = 0
-    while i < len(raw):
-        if not name(bare[i]):
-            i += 1
-            continue
-        run, j = [bare[i]], i + 1
-        while j < len(raw) and bare[j]:
-            if bare[j].lower() in CONNECTIVES and j + 1 < len(raw) and bare[j + 1][:1].isupper():
-                run += bare[j : j + 2]
-                j += 2
-            elif name(bare[j]):
-                run.append(bare[j])
-                j += 1
-            else:
-                break
-        if len(run) > 1 or (len(bare[i].encode()) >= 4 and i > 0 and not raw[i - 1].endswith((".", "!", "?"))):
-            found.setdefault(" ".join(run).lower(), " ".join(run))
-            i = j
-        else:
-            i = j if len(bare[i].encode()) >= 4 else i + 1
-    return list(found.values())
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def ner(text: pd.Series) -> pd.Series:
-    """Named entities of each text."""
-    return text.map(named_entities)
+    raw = F.filter(F.split(F.col(text) if isinstance(text, str) else text, r"[\s\p{Z}]+"), lambda w: w != "")
+    seen = lambda w: F.struct(w.alias("b"), F.lower(w).alias("l"))
+    bare = F.transform(raw, lambda w: F.struct(F.regexp_replace(w, r"^[^\p{L}\p{N}'-]+|[^\p{L}\p{N}'-]+$", "").alias("b"), w.rlike(r"[.!?]$").alias("ends")))
+    words = F.transform(bare, lambda w: F.struct(w["ends"].alias("ends"), seen(w["b"]).alias("w")))
+
+    def kind(b: Column, low: Column) -> Column:
+        joins = low.isin(*sorted(CONNECTIVES))
+        return F.when(b.rlike(r"^\p{Lu}"), F.when(low.isin(*sorted(STOPWORDS)), F.when(joins, "T").otherwise("S")).otherwise(F.when(joins, "M").otherwise("N"))).when(
+            joins, "k").otherwise("o")
+
+    def lines(ws: Column) -> Column:
+        return F.array_join(F.transform(ws, lambda x, i: F.concat(
+            kind(x["w"]["b"], x["w"]["l"]), F.when((i == 0) | F.get(ws, i - 1)["ends"], "b").otherwise("w"), F.when(F.octet_length(x["w"]["b"]) >= 4, "L").otherwise("s"),
+            x["w"]["b"], F.lit("\n"))), "")
+
+    runs = F.regexp_extract_all(_let(words, lines), F.lit(_RUN), F.lit(0))
+    told = F.filter(runs, lambda r: (F.regexp_count(r, F.lit("\n")) > 1) | r.rlike(r"^.wL"))
+    return _first_writings(F.transform(told, lambda r: F.regexp_replace(F.regexp_replace(r, r"(?m)^.{3}|\n\z", ""), "\n", " ")))
+
+
+def capital_runs(words: list[str], stop: frozenset[str], joiners: frozenset[str]) -> list[tuple[int, int]]:
+    """(start, end) of the capitalised runs of one text's words, by the same rule as ``ner``'s."""
+    letter = lambda w: ("N" if w.lower() not in stop else "S") if w[:1].isupper() else "k" if w.lower() in joiners else "o"
+    return [m.span() for m in re.finditer(r"N(?:k[NS]|N)*", "".join(map(letter, words)))]
 
 
 def cooccurring(entities: DataFrame, keep: list[str], names: str = "entities") -> DataFrame:
@@ -159,7 +160,7 @@ def ingest(docs: DataFrame, doc_id: str, text: str, source: str, workspace: str
     """
     c = chunks(docs, doc_id, text).withColumn("source", F.lit(source))
     t = extract_triplets(c, [doc_id, "chunk_no", "source"])
-    e = c.withColumn("entities", ner("text"))
+    e = c.withColumn("entities", ner("text")).filter(F.size("entities") > 0)
     pairs = cooccurring(e, [doc_id, "chunk_no", "source"])
     edges = t.select(F.col("subject").alias("src"), F.col("object").alias("dst"), "channel", F.lit(0.7).alias("confidence"), "source", doc_id, "chunk_no").unionByName(
         pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("trail").alias("channel"), F.lit(0.5).alias("confidence"), "source", doc_id, "chunk_no"))
@@ -224,9 +225,15 @@ def parse_answer(answer: pd.Series) -> pd.Series:
 
 # Weights of edges between code symbols.
 CONTAINS, IMPLEMENTS, USES_TYPE, CALLS = 0.95, 0.95, 0.6, 0.8
+_BRANCH = r"\b(?:if|else|match|for|while|loop)\b|&&|\|\||\?"
 _ITEM = r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|mod)\s+(\w+)"
 
 
+def complexity(body: Column) -> Column:
+    """1, and one more for each branching keyword or operator."""
+    return F.regexp_count(body, F.lit(_BRANCH)) + 1
+
+
 def code_symbols(files: DataFrame, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Symbols (path, kind, name, complexity) and edges (src, dst, channel, confidence) of Rust sources.
 
@@ -235,7 +242,7 @@ def code_symbols(files: DataFrame, path: str = "path", text: str = "text") -> tu
     body = F.split(F.col(text), r"(?m)^(?=\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait|mod)\s+\w+)")
     items = files.select(path, F.explode(F.filter(F.transform(body, lambda b: F.struct(
         F.regexp_extract(b, _ITEM, 1).alias("kind"), F.regexp_extract(b, _ITEM, 2).alias("name"), b.alias("body"))), lambda x: x["name"] != "")).alias("i")).select(path, "i.*")
-    symbols = items.select(path, "kind", "name", (F.regexp_count("body", F.lit(r"\b(?:if|else|match|for|while|loop)\b|&&|\|\||\?")) + 1).alias("complexity"))
+    symbols = items.select(path, "kind", "name", complexity(F.col("body")).alias("complexity"))
     contains = items.select(F.col(path).alias("src"), F.col("name").alias("dst"), F.lit("derives_de").alias("channel"), F.lit(CONTAINS).alias("confidence"), F.lit("contains").alias("label"))
     pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"impl(?:<[^>]*>)?\s+(\w+)(?:<[^>]*>)?\s+for\s+(\w+)"), F.lit(1)).alias("t"),
                         F.regexp_extract_all(text, F.lit(r"impl(?:<[^>]*>)?\s+(\w+)(?:<[^>]*>)?\s+for\s+(\w+)"), F.lit(2)).alias("s"))
@@ -248,16 +255,29 @@ def code_symbols(files: DataFrame, path: str = "path", text: str = "text") -> tu
     return symbols, contains.unionByName(implements).unionByName(calls).unionByName(uses)
 
 
-def gold_entities(title: str | None, answer: str | None, body: str | None) -> list[str]:
-    """What a supporting paragraph is about: its title, an answer under 100 bytes, and its capitalised runs."""
-    parts = [title or "", answer if answer and len(answer.encode()) < 100 else "", *named_entities(body)]
-    return list({p.lower(): p for p in reversed(parts) if p.strip()}.values())[::-1]
+def gold_entities(title: Column, answer: Column, body: Column) -> Column:
+    """What a supporting paragraph is about: its title, an answer under 100 bytes, and its capitalised runs, each once whatever its case."""
+    short = F.when(F.octet_length(answer) < 100, answer)
+    parts = F.filter(F.concat(F.array(title, short), F.coalesce(ner(body), F.array().cast("array<string>"))), lambda p: F.trim(p) != "")
+    return _first_writings(parts)
 
 
 def link_titles(paragraphs: DataFrame) -> DataFrame:
     """(a, b): titles that share a named entity, whatever its case; ``paragraphs`` has title and text.
 
-    Pairs come from an equality join on entities; an entity's titles are distinct.
+    Pairs come from an equality join on entities; an entity's titles are distinct.  ``title_stars`` gives the same links without pairs.
     """
-    e = paragraphs.select("title", F.explode(ner("text")).alias("e")).select("title", F.lower("e").alias("e")).distinct()
+    e = title_entities(paragraphs)
     return e.select(F.col("title").alias("a"), "e").join(e.select(F.col("title").alias("b"), "e"), "e").filter("a < b").select("a", "b").distinct()
+
+
+def title_entities(paragraphs: DataFrame) -> DataFrame:
+    """(title, e): the entities of each title's text in lower case, each once."""
+    return paragraphs.filter("title IS NOT NULL").select("title", F.explode(ner("text")).alias("e")).select("title", F.lower("e").alias("e")).distinct()
+
+
+def title_stars(paragraphs: DataFrame) -> DataFrame:
+    """(e, hub, title): each entity's titles hung on its smallest one, a row a title, however many share it."""
+    e = title_entities(paragraphs)
+    hub = e.groupBy("e").agg(F.min("title").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    return e.join(hub.drop("n"), "e").filter("title <> hub").select("e", "hub", "title")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadegraph.functions import channels
+from fadegraph.operators import maintenance
 from fadegraph.operators.graph import AS_OF, effective
 from fadegraph.operators.traverse import traverse, walkable
 from fadegraph.plans.cypher.parser import CypherError, Node, Rel, Statement, parse
@@ -119,7 +120,8 @@ def _match(g: _Graph, paths: list) -> tuple[DataFrame, set[str]]:
             if rows is None:
                 rows = left
             else:  # the new side is the one node of that label
-                rows = rows.withColumn(names[0], left.limit(1).scalar()).filter(F.col(names[0]).isNotNull())
+                # of several nodes of a label, in different workspaces, the one of the smallest id
+                rows = rows.withColumn(names[0], left.agg(F.min_by(names[0], f"{names[0]}.node_id")).scalar()).filter(F.col(names[0]).isNotNull())
             bound.add(names[0])
             known = 0
         else:
@@ -218,7 +220,7 @@ def _created(g: _Graph, s: Statement, rows: DataFrame | None) -> DataFrame:
 def run(query: str, nodes: DataFrame, edges: DataFrame, as_of: str = AS_OF, strict: bool = False) -> DataFrame:
     """The rows of a RETURN; the observed edges of a CREATE; the ids a DELETE removes; the changes of a SET.
 
-    Changes are (node_id, key, value) to be applied by the caller: tags and meta keys can be set.
+    Changes are (node_id, key, value); ``update`` applies them.
     """
     g, s = _Graph(nodes, edges, as_of, strict), parse(query)
     rows, rels = _match(g, s.paths) if s.paths else (None, set())
@@ -234,3 +236,28 @@ def run(query: str, nodes: DataFrame, edges: DataFrame, as_of: str = AS_OF, stri
             rows.select(F.col(f"{v}.node_id").alias("node_id"), F.lit(k).alias("key"), F.lit(None if x is None else str(x)).cast("string").alias("value")) for v, k, x in s.sets
         ]).distinct()
     return _returned(rows, s, rels)
+
+
+def update(query: str, nodes: DataFrame, edges: DataFrame, as_of: str = AS_OF, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a CREATE, DELETE or SET.
+
+    CREATE upserts: a known edge is reinforced at ``as_of``.  DELETE removes nodes with their edges.  SET adds tags or sets keys of meta.
+    """
+    s = parse(query)
+    made = run(query, nodes, edges, as_of, strict)
+    if s.create:
+        seen = made.withColumn("ts", F.lit(as_of).cast("timestamp_ntz"))
+        after = maintenance.apply_upserts(edges, seen, nodes)
+        ends = nodes.groupBy("node_id").agg(F.min("workspace").alias("_w"))
+        after = after.join(ends.withColumnRenamed("node_id", "src"), "src", "left")
+        return nodes, after.withColumns({
+            "workspace": F.coalesce("workspace", "_w"), "provenance": F.coalesce("provenance", F.lit("automated")), "ord": F.coalesce("ord", F.xxhash64("src", "dst", "channel")),
+        }).select(*edges.drop("eff").columns)
+    if s.delete:
+        left = edges
+        for end in ("src", "dst"):
+            left = left.join(made.select(F.col("node_id").alias(end)), end, "left_anti")
+        return nodes.join(made, "node_id", "left_anti"), left.select(*edges.columns)
+    if s.sets:
+        return maintenance.set_properties(nodes, made), edges
+    raise CypherError("nothing to write; run() answers a RETURN")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from fadegraph.operators.graph import kg_edges, kg_nodes
 from fadegraph.plans.base_sql import GRAPH
-from fadegraph.plans.cypher import run
+from fadegraph.engine import Engine
+from fadegraph.functions import exprs
+from fadegraph.operators.graph import AS_OF
+from fadegraph.plans.base_sql import AS_OF as T
+from fadegraph.plans.cypher import run, update
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +48,56 @@ _add("cypher_count", "MATCH (a)-[:trail]->(b) RETURN a.kind, COUNT(b)", ["kind",
      f"SELECT kind, count(*) AS n FROM (SELECT DISTINCT a.node_id, a.kind, b.node_id AS b FROM kg_nodes a {_PAIR} WHERE e.channel = 'trail') GROUP BY kind")
 _add("cypher_out_props", "MATCH (n:Procedure) RETURN n.label, n.intensity, n.confidence, n.uses", ["label", "intensity", "confidence", "uses"],
      "SELECT label, round(intensity, 6) AS intensity, round(confidence, 6) AS confidence, uses::BIGINT AS uses FROM kg_nodes LEFT JOIN ot ON src = node_id WHERE kind = 'procedure'", ("intensity", "confidence"))
+
+
+def _write(name: str, cypher: str, sql: str):
+    """Register a statement that writes: its function gets nodes and edges after it."""
+
+    def put(f):
+        def q(spark: SparkSession, d: str) -> DataFrame:
+            return f(*update(cypher, kg_nodes(spark, d), kg_edges(spark, d)))
+
+        q.__name__, q.__doc__ = name, cypher
+        QUERIES[name], SQL[name] = q, GRAPH + sql
+        return f
+
+    return put
+
+
+@_write("cypher_create", "MATCH (a)-[:causal]->(b) CREATE (b)-[:trail {confidence: 0.6, source: 'review'}]->(a)",
+        f""", p AS (SELECT DISTINCT e.dst AS src, e.src AS dst FROM kg_eff e JOIN kg_nodes a ON a.node_id = e.src JOIN kg_nodes b ON b.node_id = e.dst WHERE e.channel = 'causal')
+SELECT p.src, p.dst, round(CASE WHEN e.eff IS NULL THEN 0.6 ELSE least(1.0, e.eff + 0.3) END, 6) AS intensity, coalesce(e.confidence, 0.6) AS confidence, coalesce(e.uses, 0) + 1 AS uses
+FROM p LEFT JOIN kg_eff e ON e.src = p.src AND e.dst = p.dst AND e.channel = 'trail'
+UNION ALL SELECT e.src, e.dst, round(intensity, 6), confidence, uses FROM kg_edges e WHERE channel = 'trail' AND last_touch = {T} AND NOT EXISTS (SELECT 1 FROM p WHERE p.src = e.src AND p.dst = e.dst)""")
+def _made(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    e = edges.filter((F.col("channel") == "trail") & (F.col("last_touch") == exprs.ts(AS_OF)))
+    return e.select("src", "dst", (F.round("intensity", 6) + 0.0).alias("intensity"), "confidence", "uses")
+
+
+@_write("cypher_delete", "MATCH (n:Warning) DELETE n",
+        ", w AS (SELECT node_id FROM kg_nodes WHERE kind = 'warning') SELECT src, dst, channel FROM kg_edges WHERE src NOT IN (SELECT node_id FROM w) AND dst NOT IN (SELECT node_id FROM w)")
+def _left(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", "channel")
+
+
+@_write("cypher_set", "MATCH (n:Procedure) SET n.reviewed = true",
+        " SELECT node_id, CASE WHEN kind = 'procedure' THEN 'true' END AS reviewed FROM kg_nodes")
+def _set(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.select("node_id", F.lower(F.get_json_object("meta", "$.reviewed")).alias("reviewed"))
+
+
+def engine_relate(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the first label's node after it was related to the last label's, in an opened graph of all workspaces."""
+    g = Engine.open(spark, d)
+    a, b = g.nodes.agg(F.min("label"), F.max("label")).first()
+    after = g.relate(a, b, "causal", AS_OF, 0.7)
+    return after.show(a, AS_OF).select("src", "dst", "channel", (F.round("eff", 6) + 0.0).alias("eff"), "uses").withColumn("nodes", after.nodes.agg(F.count("*")).scalar())
+
+
+QUERIES["engine_relate"] = engine_relate
+SQL["engine_relate"] = GRAPH + """, n AS (SELECT arg_min(node_id, label) AS a, arg_max(node_id, label) AS b FROM kg_nodes),
+e AS (SELECT src, dst, channel, eff, uses FROM kg_eff, n WHERE src = a OR dst = a),
+r AS (SELECT src, dst, channel, CASE WHEN src = a AND dst = b AND channel = 'causal' THEN least(1.0, eff + 0.5) ELSE eff END AS eff,
+  uses + CASE WHEN src = a AND dst = b AND channel = 'causal' THEN 1 ELSE 0 END AS uses FROM e, n
+  UNION ALL SELECT a, b, 'causal', 0.7, 1 FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = n.a AND e.dst = n.b AND e.channel = 'causal'))
+SELECT src, dst, channel, round(eff, 6) AS eff, uses, (SELECT count(*) FROM kg_nodes) AS nodes FROM r"""

@@ -67,6 +67,24 @@ def pattern_depends(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "chunk_no", F.explode(text.matches(F.col("text"), text.PATTERNS[10][0], 11, "trail")).alias("m")).select("doc_id", "chunk_no", "m.subject", "m.object")
 
 
+def _groups(pattern: str, g: int) -> str:
+    return f"regexp_extract_all(text, '(?i){pattern}', {g})".replace("\\z", "$")
+
+
+#: SQL of all patterns: the same expressions by DuckDB's engine, whose \\s, \\S and case know ASCII and Unicode as given.
+_ALL = "pt AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, chunk_no, {i + 1} AS no, '{c}' AS channel, unnest({_groups(p, 1)}) AS s, unnest({_groups(p, 2)}) AS o FROM ch" for i, (p, c) in enumerate(text.PATTERNS)
+) + r"""), pn AS (SELECT doc_id, chunk_no, no, channel, trim(regexp_replace(s, '\s+$|^\s+', '', 'g')) AS subject, coalesce(nullif(trim(regexp_replace(o, '\s+$|^\s+', '', 'g')), ''), 'WARNING') AS object FROM pt)"""
+
+
+@query(f"WITH {_CHUNK}, {_ALL} SELECT no::INT AS no, channel, count(*) AS n, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM pn WHERE subject <> '' GROUP BY 1, 2")
+def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of each of the fifteen patterns over all chunks, repetitions included."""
+    c = text.chunks(table(spark, d, "documents"), "doc_id", "text")
+    t = c.select(F.explode(text.triplets(F.col("text"))).alias("t")).select("t.*")
+    return t.groupBy("no", "channel").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"), F.count_distinct("object").alias("objects"))
+
+
 @query()
 def triplet_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Triplets of all patterns."""
@@ -89,17 +107,32 @@ def relation_channel(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "llm_triplets").select("triplet_id", exprs.relation_channel(F.col("relation")).alias("channel"))
 
 
-@query("""SELECT session_key, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL AND session_key IS NOT NULL AND source = 'chat' GROUP BY session_key""")
+@query("""SELECT session_key, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL AND session_key IS NOT NULL GROUP BY session_key""")
 def conversation_source(spark: SparkSession, d: str) -> DataFrame:
-    """Chats joined per session."""
-    t = table(spark, d, "documents").filter("source = 'chat' AND session_key IS NOT NULL")
+    """Texts joined per session."""
+    t = table(spark, d, "documents").filter("session_key IS NOT NULL")
     return conversations(t, "session_key", "doc_id", "text")
 
 
-@query()
+#: SQL of the entity runs; the word lists are the operator's.
+_NER = (
+    r"""nw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda w: w <> '') AS raw FROM documents WHERE text IS NOT NULL),
+nb AS (SELECT doc_id, raw, list_transform(raw, lambda w: regexp_replace(w, '^[^\p{L}\p{N}''-]+|[^\p{L}\p{N}''-]+$', '', 'g')) AS bare FROM nw),
+nl AS (SELECT doc_id, array_to_string(list_transform(range(1, len(raw) + 1), lambda i:
+  CASE WHEN regexp_matches(bare[i], '^\p{Lu}') AND lower(bare[i]) NOT IN STOPS THEN CASE WHEN lower(bare[i]) IN JOINS THEN 'M' ELSE 'N' END
+    WHEN regexp_matches(bare[i], '^\p{Lu}') THEN CASE WHEN lower(bare[i]) IN JOINS THEN 'T' ELSE 'S' END WHEN lower(bare[i]) IN JOINS THEN 'k' ELSE 'o' END
+  || CASE WHEN i = 1 OR regexp_matches(raw[i - 1], '[.!?]$') THEN 'b' ELSE 'w' END || CASE WHEN strlen(bare[i]) >= 4 THEN 'L' ELSE 's' END || bare[i] || chr(10)), '') AS line FROM nb),
+nr AS (SELECT doc_id, unnest(regexp_extract_all(line, '(?m)^[NM][^\n]*\n(?:[MTk][^\n]*\n[NMST][^\n]*\n|[NM][^\n]*\n)*')) AS r FROM nl),
+nt AS (SELECT doc_id, regexp_replace(regexp_replace(rtrim(r, chr(10)), '(?m)^.{3}', '', 'g'), '\n', ' ', 'g') AS entity FROM nr
+  WHERE len(r) - len(replace(r, chr(10), '')) > 1 OR regexp_matches(r, '^.wL'))"""
+    .replace("STOPS", "(" + ", ".join(f"'{w}'" for w in sorted(text.STOPWORDS)) + ")").replace("JOINS", "(" + ", ".join(f"'{w}'" for w in sorted(text.CONNECTIVES)) + ")")
+)
+
+
+@query(f"WITH {_NER} SELECT DISTINCT doc_id, lower(entity) AS entity FROM nt")
 def ner_entities(spark: SparkSession, d: str) -> DataFrame:
     """Named entities of all documents."""
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(text.ner("text")).alias("entity"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(text.ner("text")).alias("entity")).withColumn("entity", F.lower("entity"))
 
 
 @query()
@@ -115,11 +148,11 @@ def llm_json_repair(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "llm_raw").select("raw_id", F.explode(text.parse_answer(a)).alias("t")).select("raw_id", "t.subject", "t.relation", "t.object", "t.confidence")
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\b(?:if|for|while|match)\b')) + 1 AS complexity FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\b(?:if|else|match|for|while|loop)\b|&&|\|\||\?')) + 1 AS complexity FROM documents WHERE text IS NOT NULL")
 def complexity_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Branching words of a text, and one."""
     t = table(spark, d, "documents").filter("text IS NOT NULL")
-    return t.select("doc_id", (F.regexp_count("text", F.lit(r"\b(?:if|for|while|match)\b")) + 1).cast("bigint").alias("complexity"))
+    return t.select("doc_id", text.complexity(F.col("text")).cast("bigint").alias("complexity"))
 
 
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

@@ -102,9 +102,10 @@ def test_patterns(spark):
     assert found("Hello world, this is just random text.") == set()
 
 
-def test_named_entities():
-    assert text.named_entities("we met Marie Curie at the University of Cambridge. Then nothing") == ["Marie Curie", "University of Cambridge"]
-    assert text.named_entities("The cat") == [] and text.named_entities(None) == []
+def test_named_entities(spark):
+    texts = ["we met Marie Curie at the University of Cambridge. Then nothing", "The cat", None, "", "so Ludwig Van der Berg and The Hague met. Relay ran; then Relay, RELAY and Anna-Lena stayed", "a " * 3000]
+    got = [r.e for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", text.ner("t").alias("e")).orderBy("i").collect()]
+    assert got == [["Marie Curie", "University of Cambridge"], [], None, [], ["Ludwig Van", "Berg and The Hague", "Relay RELAY and Anna-Lena"], []]
 
 
 def test_repair():
@@ -160,7 +161,8 @@ def test_sql_functions(spark):
 
 
 def test_gold_and_links(spark):
-    assert text.gold_entities("Title", "x", "we met Marie Curie there") == ["Title", "x", "Marie Curie"]
+    rows = spark.createDataFrame([("Title", "x", "we met Marie Curie there"), ("T", "y" * 200, None), (None, None, "saw title Title")], "t string, a string, b string")
+    assert [r.g for r in rows.select(text.gold_entities(F.col("t"), F.col("a"), F.col("b")).alias("g")).collect()] == [["Title", "x", "Marie Curie"], ["T"], ["Title"]]
     df = spark.createDataFrame([("A", "we met Marie Curie"), ("B", "saw Marie Curie"), ("C", "no one")], "title string, text string")
     assert [(r.a, r.b) for r in text.link_titles(df).collect()] == [("A", "B")]
 
