@@ -1,8 +1,7 @@
 """Variant spellings of person and organisation names: noisy-channel attribution.
 
 1. Distinct spellings are counted over the whole input; everything after works on
-   those.  Words with ``PARTNERS`` (or, if more, a fortieth of the root of the number of
-   spellings) or more different partner words are role words, unless they are
+   those.  Words with ``PARTNERS`` or more different partner words are role words, unless they are
    one edit from a word with ``SLIP`` times their partners:
    given names and words of organisations if mostly capitalised, else names of
    things.  A word that stands after "Surname," more often than before a comma is
@@ -27,7 +26,7 @@ joins on (deleted form, role part).  The parser's tables hold at most
 role parts; more of them is an error, none is dropped.
 
 Defined cases: null, empty and blank names are none; a spelling of more than
-eight words or 200 characters is no name; a surname or organisation word alone belongs to
+eight words is no name; a surname or organisation word alone belongs to
 nothing; of equally good candidates the smaller one by code points wins.
 """
 from __future__ import annotations
@@ -258,7 +257,7 @@ def spellings(names: DataFrame, column: str = "name") -> DataFrame:
 
 def _words(sp: DataFrame) -> DataFrame:
     """(name, word, capital, org) of spellings that could be names."""
-    raw = sp.filter(F.length("name") <= 200).select("name", F.regexp_extract_all("name", F.lit(rf"[{_LETTERS}]+"), F.lit(0)).alias("ws")).filter(
+    raw = sp.select("name", F.regexp_extract_all("name", F.lit(rf"[{_LETTERS}]+"), F.lit(0)).alias("ws")).filter(
         F.size("ws").between(2, WORDS_MOST)
     )
     org = F.arrays_overlap(F.transform("ws", F.lower), F.array(*map(F.lit, [*ORG_TYPES, "inst", "univ", "fdn", "grp", "wks", "assoc", "ltd"])))
@@ -284,11 +283,9 @@ def _slips(partners: dict[str, int]) -> set[str]:
 def role_words(sp: DataFrame) -> tuple[set[str], set[str], set[str]]:
     """Given names, words of organisations, and words of things, by their partners."""
     words = _words(sp)
-    # in a larger corpus a surname meets more partners by chance
-    least = max(PARTNERS, int(sp.count() ** 0.5 / 40))
     partners = (
         words.select("word", F.explode("low").alias("other")).filter("word <> other").distinct()
-        .groupBy("word").agg(F.count("*").alias("partners")).filter(F.col("partners") >= least)
+        .groupBy("word").agg(F.count("*").alias("partners")).filter(F.col("partners") >= PARTNERS)
     )
     use = words.groupBy("word").agg(F.avg(F.col("capital").cast("int")).alias("capital"), F.avg(F.col("org").cast("int")).alias("org"))
     top = partners.join(use, "word").orderBy(F.desc("partners"), "word")
@@ -324,7 +321,7 @@ def _parsed(sp: DataFrame, lex: Lexicon) -> DataFrame:
             rows = [(n, *p) for n in f["name"] if (p := parse(n))]
             yield pd.DataFrame(rows, columns=["name", "kind", "rare", "x", "slip"])
 
-    no_digit = sp.filter((F.length("name") <= 200) & ~F.col("name").rlike(r"\p{N}")).select("name")
+    no_digit = sp.filter(~F.col("name").rlike(r"\p{N}")).select("name")
     return materialise(no_digit.mapInPandas(run, "name string, kind string, rare string, x string, slip double"), "parsed")
 
 
@@ -400,10 +397,12 @@ def entities(names: DataFrame, forms: DataFrame, column: str = "name") -> DataFr
         .groupBy(*key).agg(F.max(F.struct("to_support", F.col("to")))["to"].alias("root"))
     )
     roots = cand.join(parent, key, "left").select(*key, "support", F.coalesce("root", "rare").alias("root"))
-    for _ in range(2):  # a variant's variant
+    while True:  # a variant's variant: pointers are doubled until none moves; they go up in support, so there is no ring
         up = roots.select("kind", "role", F.col("rare").alias("root"), F.col("root").alias("next"))
-        roots = roots.join(up, ["kind", "role", "root"]).select(*key, "support", F.col("next").alias("root"))
-    roots = materialise(roots, "roots")
+        roots = materialise(roots.join(up, ["kind", "role", "root"]).select(*key, "support", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+        if not roots.filter("moved").limit(1).count():
+            break
+    roots = roots.drop("moved")
 
     spread = rows.select("name", *key, "fit", F.explode(_forms(F.col("rare"))).alias("form"))
     target = roots.select("kind", "role", F.col("rare").alias("to"), "support", "root", F.explode(_forms(F.col("rare"))).alias("form"))

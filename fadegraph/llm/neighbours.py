@@ -10,11 +10,17 @@ nearest leaf and scans the codes there by table lookup (the tables of a block of
 queries are applied at once, as a product with the decoded centres, which gives
 the same sums).  What reaches the threshold is reranked by exact cosine.
 
+A leaf is a pair of a coarse centre and a centre of what the coarse ones leave, so
+that there are up to ``MAX_LEAVES`` times ``MAX_FINE`` leaves of a model of
+``MAX_LEAVES`` + ``MAX_FINE`` rows; the second kind is used when the first alone would
+give leaves of over ``LEAF`` vectors.  Queries and codes of a leaf are both dealt in
+blocks of bounded size, and the best of the blocks are merged, so that a leaf with a
+third of all vectors is many small tasks.
+
 Model and leaves are fit on a sample of at most ``SAMPLE`` vectors a space,
 a share by hash.  Every vector is indexed and every vector is a query.  The
-number of leaves follows the number of vectors (about ``LEAF`` a leaf, at most
-``MAX_LEAVES``, so the broadcast model stays under 4 MB a space); beyond that
-leaves grow and are still scanned whole, in blocks.
+number of leaves follows the number of vectors (about ``LEAF`` a leaf), and the
+broadcast model stays under 2 MB a space of 96 dimensions.
 
 Copies: vectors that agree to six digits after normalisation are one point.
 Its first k + 1 ids take part; any further copy has the point's first k ids as
@@ -40,9 +46,9 @@ from pyspark.sql import Window as W
 
 from fadegraph.sources import materialise
 
-SAMPLE, LEAF, MAX_LEAVES, SPILL = 16_384, 400, 8_192, 8
+SAMPLE, LEAF, MAX_LEAVES, MAX_FINE, SPILL, NEAR = 16_384, 400, 2_048, 512, 8, 16
 CENTRES, SUB = 16, 2
-SLACK, QUERY_BLOCK, ANISOTROPY_T = 0.15, 2_048, 0.2
+SLACK, QUERY_BLOCK, CODE_BLOCK, ANISOTROPY_T = 0.15, 2_048, 65_536, 0.2
 POINTS = "id bigint, space string, leaf int, spill array<int>, code binary, v array<float>"
 
 
@@ -91,10 +97,43 @@ def encode(x: np.ndarray, book: np.ndarray, rounds: int = 2) -> np.ndarray:
     return codes
 
 
-def fit(x: np.ndarray, leaves: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf centres and the codebook (subspaces, 16, 2) of unit vectors ``x``."""
+def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Plain k-means of residuals; centre 0 is the origin."""
+    c = np.concatenate([np.zeros((1, x.shape[1]), np.float32), x[rng.choice(len(x), k - 1, replace=len(x) < k)]])
+    for _ in range(rounds):
+        near = np.argmin((c * c).sum(1)[None] - 2 * x @ c.T, 1)
+        s, n = np.zeros_like(c), np.bincount(near, minlength=k)
+        np.add.at(s, near, x)
+        c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c).astype(np.float32)
+        c[0] = 0
+    return c
+
+
+def leaves_of(x: np.ndarray, coarse: np.ndarray, fine: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest leaves of each vector, nearest first: coarse centre times the number of fine ones, plus fine centre.
+
+    Pairs are sought below the ``NEAR`` nearest coarse centres; products with a pair are the sum of products with its parts.
+    """
+    a, b = x @ coarse.T, x @ fine.T
+    m = min(max(NEAR, -(-k // len(fine))), len(coarse))
+    top = np.argpartition(-a, m - 1, 1)[:, :m]
+    cross = coarse @ fine.T
+    half = 0.5 * (1 + 2 * cross + (fine * fine).sum(1)[None])  # half the square of a pair's sum, coarse centres being of length one
+    score = np.take_along_axis(a, top, 1)[:, :, None] + b[:, None] - half[top]
+    flat = score.reshape(len(x), -1)
+    k = min(k, flat.shape[1])
+    best = np.argpartition(-flat, k - 1, 1)[:, :k]
+    order = np.take_along_axis(best, np.argsort(-np.take_along_axis(flat, best, 1), 1, kind="stable"), 1)
+    return np.take_along_axis(top, order // len(fine), 1) * len(fine) + order % len(fine)
+
+
+def fit(x: np.ndarray, leaves: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coarse centres, fine centres and the codebook (subspaces, 16, 2) of unit vectors ``x``."""
     rng = np.random.default_rng(seed)
-    c = _kmeans(x, min(leaves, len(x)), 8, rng)
+    few = min(leaves, MAX_LEAVES, len(x))
+    c = _kmeans(x, few, 8, rng)
+    near = np.concatenate([np.argmax(x[i : i + 4096] @ c.T, 1) for i in range(0, len(x), 4096)])
+    f = _means(x - c[near], int(np.clip(-(-leaves // few), 1, MAX_FINE)), 6, rng)
     n, m, h = len(x), -(-x.shape[1] // SUB), eta(x.shape[1]) - 1
     xs = np.pad(x, ((0, 0), (0, m * SUB - x.shape[1]))).reshape(n, m, SUB)
     book = np.stack([xs[rng.choice(n, CENTRES, replace=n < CENTRES), j] for j in range(m)]).astype(np.float32)
@@ -113,7 +152,7 @@ def fit(x: np.ndarray, leaves: int, seed: int = 11) -> tuple[np.ndarray, np.ndar
                     a = sel.sum() * np.eye(SUB) + h * v.T @ v
                     b = v.sum(0) + h * v.T @ (rest[sel] + (v * v).sum(1))
                     book[j, k] = np.linalg.solve(a, b)
-    return c, book
+    return c, f, book
 
 
 def _decoded(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -166,14 +205,12 @@ def _index(models):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for space, g in f.groupby("space"):
-                centres, book = models.value[space]
+                coarse, fine, book = models.value[space]
                 x = _units(g)
-                score = x @ centres.T
-                k = min(SPILL, score.shape[1])
-                top = np.argpartition(-score, k - 1, 1)[:, :k]
+                top = np.concatenate([leaves_of(x[i : i + 1024], coarse, fine, SPILL) for i in range(0, len(x), 1024)])
                 codes = encode(_padded(x, len(book)), book)
                 yield pd.DataFrame({
-                    "id": g["id"].to_numpy(), "space": space, "leaf": score.argmax(1).astype(np.int32),
+                    "id": g["id"].to_numpy(), "space": space, "leaf": top[:, 0].astype(np.int32),
                     "spill": list(top.astype(np.int32)), "code": _pack(codes), "v": list(x),
                 })
 
@@ -183,8 +220,8 @@ def _index(models):
 def _scan(models, k: int, min_score: float):
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(codes):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        book = models.value[queries["space"].iloc[0]][1]
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "near": pd.Series(dtype="float32"), "kth": pd.Series(dtype="float32")})
+        book = models.value[queries["space"].iloc[0]][2]
         x = _decoded(_unpack(list(codes["c_code"]), len(book)), book)
         q = _padded(np.stack(queries["v"].to_numpy()).astype(np.float32), len(book))
         qi, ci = queries["id"].to_numpy(), codes["c_id"].to_numpy()
@@ -192,13 +229,10 @@ def _scan(models, k: int, min_score: float):
         for s in range(0, len(q), 256):
             score = q[s : s + 256] @ x.T
             score[qi[s : s + 256][:, None] == ci[None]] = -2
-            floor = np.full(len(score), min_score - SLACK)
-            if score.shape[1] > k:
-                floor = np.maximum(floor, -np.partition(-score, k - 1, 1)[:, k - 1] - 2 * SLACK)
-            i, j = np.nonzero(score >= floor[:, None])
-            out.append(np.stack([qi[s + i], ci[j]], 1))
-        both = np.sort(np.concatenate(out), 1)
-        return pd.DataFrame(both, columns=["a", "b"]).drop_duplicates()
+            kth = -np.partition(-score, k - 1, 1)[:, k - 1] if score.shape[1] > k else np.full(len(score), -2.0)
+            i, j = np.nonzero(score >= np.maximum(min_score - SLACK, kth - 2 * SLACK)[:, None])
+            out.append(pd.DataFrame({"a": qi[s + i], "b": ci[j], "near": score[i, j].astype(np.float32), "kth": kth[i].astype(np.float32)}))
+        return pd.concat(out)
 
     return run
 
@@ -222,27 +256,32 @@ def most_similar(df: DataFrame, vec_id: str, space: str, vec: str, n_dim: str, k
             (F.col("space") == s.space) & (F.size("v") == s.dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
         ).limit(SAMPLE).select("id", "v").toPandas().sort_values("id")
         x = _units(some) if len(some) else np.eye(s.dim, dtype=np.float32)
-        models[s.space] = fit(x, int(np.clip(s.n // LEAF, 1, MAX_LEAVES)))
+        models[s.space] = fit(x, int(np.clip(s.n // LEAF, 1, MAX_LEAVES * MAX_FINE)))
     shared = spark.sparkContext.broadcast(models)
     index = materialise(placed.select("id", "space", "v").mapInPandas(_index(shared), POINTS), "index")
 
-    # queries of a leaf in blocks of bounded size; the codes of a leaf go to each of its blocks
-    sizes = index.groupBy("space", "leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    # queries and codes of a leaf in blocks of bounded size; each block of the one meets each of the other
+    spilt = index.select("id", "space", F.explode("spill").alias("leaf"), "code")
+    many = lambda c, of: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(0)) / of)).cast("int")
+    sizes = index.groupBy("space", "leaf").agg(F.count("*").alias("nq")).join(spilt.groupBy("space", "leaf").agg(F.count("*").alias("nc")), ["space", "leaf"]).select(
+        "space", "leaf", many(F.col("nq"), QUERY_BLOCK).alias("qs"), many(F.col("nc"), CODE_BLOCK).alias("cs"))
+    sizes = materialise(sizes, "leaves")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = index.join(sizes, ["space", "leaf"]).select(
-        "id", "space", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "v"
-    )
-    codes = (
-        index.select("id", "space", F.explode("spill").alias("leaf"), "code").join(sizes, ["space", "leaf"])
-        .select(
-            F.col("id").alias("c_id"), F.col("space").alias("c_space"), F.col("leaf").alias("c_leaf"),
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c_block"), F.col("code").alias("c_code"),
-        )
+        "id", "space", "leaf", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int").alias("block"), every("cs").alias("other"), "v"
     )
-    keys = ["space", "leaf", "block"]
-    found = (
-        queries.groupBy(*keys).cogroup(codes.groupBy(*(f"c_{c}" for c in keys)))
-        .applyInPandas(_scan(shared, k, min_score), "a bigint, b bigint").distinct()
+    codes = spilt.join(sizes, ["space", "leaf"]).select(
+        F.col("id").alias("c_id"), F.col("space").alias("c_space"), F.col("leaf").alias("c_leaf"),
+        every("qs").alias("c_block"), F.pmod(F.xxhash64("id"), F.col("cs")).cast("int").alias("c_other"), F.col("code").alias("c_code"),
     )
+    keys = ["space", "leaf", "block", "other"]
+    scanned = queries.groupBy(*keys).cogroup(codes.groupBy(*(f"c_{c}" for c in keys))).applyInPandas(_scan(shared, k, min_score), "a bigint, b bigint, near float, kth float")
+    if sizes.filter("cs > 1").limit(1).count():
+        # a query's k-th best is at least that of its best block
+        scanned = materialise(scanned, "scanned")
+        floor = scanned.groupBy("a").agg(F.max("kth").alias("floor"))
+        scanned = scanned.join(floor, "a").filter(F.col("near") >= F.col("floor") - 2 * SLACK)
+    found = scanned.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     x = placed.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
     y = placed.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)

@@ -70,11 +70,31 @@ def test_most_similar(spark):
     assert neighbours.most_similar(df.limit(0), "vec_id", "vspace", "vec", "n_dim").count() == 0
 
 
+def test_leaves_in_two_levels_and_blocks_lose_nothing(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    base = g.normal(size=(120, 24))
+    x = np.concatenate([base + 0.3 * g.normal(size=base.shape) for _ in range(8)])
+    df = spark.createDataFrame([(i, "m", 24, [float(v) for v in row], "z", "z") for i, row in enumerate(x)], VEC)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+
+    def recall():
+        return len({(r.id, r.other) for r in neighbours.most_similar(df, "vec_id", "vspace", "vec", "n_dim", 5).collect()} & want) / len(want)
+
+    monkeypatch.setattr(neighbours, "LEAF", 40)
+    assert recall() >= 0.9
+    for name, value in (("MAX_LEAVES", 6), ("CODE_BLOCK", 50), ("QUERY_BLOCK", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert recall() >= 0.9
+
+
 def test_quantiser_weighs_parallel_error():
     g = np.random.default_rng(0)
     x = g.normal(size=(600, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    _, book = neighbours.fit(x, 8)
+    *_, book = neighbours.fit(x, 8)
     plain = np.stack([((x.reshape(600, 32, 1, 2) - book[None])[:, j] ** 2).sum(2).argmin(1) for j in range(32)], 1).astype(np.uint8)
     along = lambda c: np.abs(((x - neighbours._decoded(c, book)) * x).sum(1)).mean()
     assert along(neighbours.encode(x, book)) < along(plain)
