@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadegraph.functions import channels, exprs
-from fadegraph.operators import community, fusion, maintenance, rank, text, traverse
+from fadegraph.operators import community, fusion, hdc, maintenance, rank, text, traverse
 from fadegraph.operators.graph import EDGE, effective, kg_edges, kg_nodes
 from fadegraph.plans import cypher
 from fadegraph.sources import texts
+from fadegraph.sources.plugins import Registry
 
 NODE = ["workspace", "node_id", "label", "kind", "created_at", "last_seen", "tags", "meta", "ord"]
 NODE_SCHEMA = ("workspace string, node_id string, label string, kind string, created_at timestamp_ntz, last_seen timestamp_ntz, "
@@ -163,6 +164,22 @@ class Engine:
         n, e = text.ingest(docs, doc_id, column, source, self.workspace)
         return self._observed(n.select("label", "kind", "tags"), e.select("src", "dst", "channel", "confidence"), as_of, source)
 
+    def ingest_files(self, path: str, as_of: str, registry: Registry | None = None) -> Engine:
+        """The files of a folder: each by the plugin for its extension, if there is one, else as text.
+
+        A plugin gives subject, object, channel and confidence of the triplets it finds in (path, text).
+        """
+        docs, made = texts.files(self._spark, path), self
+        rest = docs
+        low = F.lower(F.col("path"))
+        for plugin in registry.plugins if registry else ():
+            mine = reduce(lambda a, b: a | b, (low.endswith("." + e.lower().lstrip(".")) for e in plugin.extensions))
+            t = plugin.ingest(rest.filter(mine))
+            ends = t.select(F.explode(F.array("subject", "object")).alias("label"), F.lit("entity").alias("kind"), F.array().cast("array<string>").alias("tags"))
+            made = made._observed(ends, t.select(F.col("subject").alias("src"), F.col("object").alias("dst"), "channel", "confidence"), as_of, plugin.name)
+            rest = rest.filter(~mine)
+        return made.ingest(rest, as_of, "path", "text", "files")
+
     def add(self, content: str, as_of: str, source: str = "api", tags: tuple[str, ...] = ()) -> Engine:
         """One text; without triplets it becomes an event."""
         docs = texts.raw_text(self._spark, content)
@@ -290,6 +307,12 @@ class Engine:
         e = self.edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
         return n, e
 
+    def scored_context(self, query: str, as_of: str, limit: int = 20, vectors: DataFrame | None = None) -> str:
+        """A block of the facts a search over four paths finds, with their scores, and the warnings."""
+        hits = fusion.hybrid_search(self.nodes, self.edges, query, limit, "cli", vectors, as_of, minimum=0.1).orderBy(F.desc(F.round("score", 9)), "label").collect()
+        warnings = [r.label for r in self.nodes.filter("kind = 'warning'").orderBy("label").limit(100).collect()]
+        return "\n".join(["## Facts", *(f"- {r.label} ({r.score:.4f}; {', '.join(r.sources)})" for r in hits), "## Alarms", *(f"- {x}" for x in warnings)])
+
     def context(self, query: str, as_of: str, max_tokens: int = 2000) -> str:
         """A block of facts, relations and warnings about a query, cut at a line's end to four characters a token."""
         words = [w for w in dict.fromkeys(query.replace("'", " ").split()) if len(w) > 3 and w.lower() not in CONTEXT_STOP]
@@ -306,11 +329,17 @@ class Engine:
         block = "\n".join(lines)
         return block if len(block) <= 4 * max_tokens else block[: block.rfind("\n", 0, 4 * max_tokens)]
 
-    def session_restore(self, query: str, as_of: str, limit: int = 5) -> DataFrame:
-        """(label, entities, decisions) of the sessions a query is about."""
+    def session_restore(self, query: str, as_of: str, limit: int = 5, vectors: DataFrame | None = None) -> DataFrame:
+        """(label, score, entities, decisions) of the sessions a query is about: fuzzy hits and, with vectors, similar labels, fused by reciprocal rank."""
         past = self.nodes.filter(F.array_contains("tags", "session_summary"))
-        hits = past.select("node_id", "label", F.greatest(exprs.fuzzy_score(F.col("label"), query), exprs.fuzzy_score(F.coalesce("meta", F.lit("")), query)).alias("score")).filter("score > 0")
-        top = hits.orderBy(F.desc("score"), "label").limit(limit)
+        hits = past.select("label", F.greatest(exprs.fuzzy_score(F.col("label"), query), exprs.fuzzy_score(F.coalesce("meta", F.lit("")), query)).alias("score")).filter("score > 0")
+        lists = [fusion.as_list(hits.orderBy(F.desc("score"), "label").limit(4 * limit), 0, "fuzzy")]
+        if vectors is not None:
+            alike = hdc.search_labels(vectors, query, 4 * limit)
+            named = past.select("label", F.lower("label").alias("low")).join(alike.withColumnRenamed("label", "low"), "low").select("label", "score")
+            lists.append(fusion.as_list(named, 1, "hdc"))
+        fused = fusion.rrf(reduce(DataFrame.unionByName, lists)).select("label", "score")
+        top = fused.join(past.select("node_id", "label"), "label").orderBy(F.desc(F.round("score", 9)), "label").limit(limit)
         e = self.edges.join(self.nodes.select(F.col("node_id").alias("dst"), F.col("label").alias("to")), "dst")
         got = top.join(e.select("src", "channel", "to"), F.col("node_id") == F.col("src"), "left").groupBy("label", "score")
         return got.agg(

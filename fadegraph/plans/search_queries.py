@@ -172,17 +172,6 @@ def hdc_most_similar(spark: SparkSession, d: str) -> DataFrame:
     return hdc.most_similar(hdc.context_vectors(_records(spark, d), 5), "membrane", 20).withColumn("score", _r("score"))
 
 
-@query(f"""WITH {_HDC}, k AS (SELECT sent, token, count(*) AS n FROM tk GROUP BY 1, 2), m AS (SELECT sent, dim, sum(k.n * idf * val) AS val FROM k JOIN idf USING (token) JOIN cv USING (token) GROUP BY 1, 2),
-z AS (SELECT sent, sqrt(sum(val * val)) AS norm FROM m GROUP BY 1), e AS (SELECT sent, dim, val / norm AS val FROM m JOIN z USING (sent) WHERE norm > 0)
-SELECT x.sent, round(sum(x.val * q.val), 6) + 0.0 AS score FROM e x JOIN e q ON q.dim = x.dim AND q.sent = (SELECT min(sent) FROM e) WHERE x.sent <> q.sent
-GROUP BY x.sent ORDER BY round(sum(x.val * q.val), 9) DESC, x.sent LIMIT 20""")
-def hdc_search(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose encoding is most like that of the first."""
-    r = _records(spark, d)
-    e = hdc.encode_sentences(r, hdc.context_vectors(r, 5), hdc.document_frequency(r))
-    return hdc.search(e, e.agg(F.min("sent")).scalar(), 20).withColumn("score", _r("score"))
-
-
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, q WHERE vec_id <> (SELECT min(vec_id) FROM embeddings)
 ORDER BY score DESC, vec_id LIMIT 20""")

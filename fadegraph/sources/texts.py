@@ -1,6 +1,6 @@
 """Texts as tables: files, conversations, question sets, JSON; and what is written out.
 
-Files over ``MOST_BYTES`` are left out, as are paths that climb out of their folder.
+A file over ``MOST_BYTES`` is an error, as is a path that climbs out of its folder.
 """
 from __future__ import annotations
 
@@ -34,9 +34,22 @@ def raw_text(spark: SparkSession, text: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of the files of a folder, each whole."""
-    rows = spark.read.text(checked_path(path), wholetext=True)
-    return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text")).filter(F.octet_length("text") <= MOST_BYTES)
+    """(path, text) of the files of a folder, each whole; one that is too large is an error when it is read."""
+    rows = spark.read.text(checked_path(path), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    told = F.raise_error(F.concat(F.lit("file is too large: "), "path"))
+    return rows.withColumn("text", F.when(F.octet_length("text") > MOST_BYTES, told.cast("string")).otherwise(F.col("text")))
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Add entries to a mutation log; entries already there stay."""
+    entries.write.mode("append").parquet(path)
+
+
+def truncate_log(spark: SparkSession, path: str, upto: int) -> str:
+    """The path of a new log without the entries up to a seq, as after a snapshot; the old one is not touched."""
+    kept = f"{path.rstrip('/')}-after-{upto}"
+    spark.read.parquet(path).filter(F.col("seq").isNull() | (F.col("seq") > upto)).write.parquet(kept)
+    return kept
 
 
 def conversations(turns: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
@@ -80,6 +93,11 @@ def hotpot(spark: SparkSession, path: str, limit: int | None = None) -> DataFram
     return rows.select(F.col("_id").alias("id"), "question", "answer", support.alias("supporting"), every.alias("paragraphs"), F.greatest(F.lit(1), F.size(support)).alias("num_hops"), F.lit("hotpotqa").alias("dataset"))
 
 
+HTML_ROWS = 10_000
+_PAGE = ("<!doctype html><meta charset=utf-8><title>graph</title><ul id=list></ul><script>const rows=",
+         ";for(const r of rows){const li=document.createElement('li');li.textContent=r.what=='node'?r.label+' ('+r.kind+')':r.src+' -'+r.channel+'-> '+r.dst;list.append(li)}</script>")
+
+
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "json") -> None:
     """Write the graph as json (two folders), csv (edges) or dot (lines)."""
     named = lambda c: nodes.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
@@ -93,6 +111,14 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str = "jso
     elif form == "dot":
         quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', "'"), F.lit('"'))
         full.select(F.concat(quoted(a), F.lit(" -> "), quoted(b), F.lit(' [label="'), "channel", F.lit('"];')).alias("value")).write.mode("overwrite").text(path)
+    elif form == "html":
+        # one page holds what a reader can look at: the caller's view, of bounded size
+        row = lambda what, *cols: F.to_json(F.struct(F.lit(what).alias("what"), *cols))
+        lines = [r.value for r in nodes.select(row("node", "node_id", "label", "kind").alias("value")).limit(HTML_ROWS).collect()]
+        lines += [r.value for r in full.select(row("edge", "src", "dst", "channel", "intensity").alias("value")).limit(HTML_ROWS).collect()]
+        data = ",\n".join(x.replace("<", "\\u003c") for x in lines)
+        page = f"{_PAGE[0]}[{data}]{_PAGE[1]}"
+        nodes.sparkSession.range(1).select(F.lit(page).alias("value")).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown form {form!r}")
 

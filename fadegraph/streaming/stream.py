@@ -1,7 +1,9 @@
 """The engine on streams: reinforcement with state, folders that are watched, windows.
 
 State per edge is three numbers; late observations beyond the watermark are
-dropped by the source, those within it arrive ordered inside each batch.
+dropped by the source.  A batch's observations of an edge are folded in order of
+time, over all its Arrow frames; one that comes in a later batch than a younger one
+counts as made at the time of the last (decay never runs backwards).
 """
 from __future__ import annotations
 
@@ -35,14 +37,15 @@ def reinforce_stream(observed: DataFrame, late: str = "30 days", idle_hours: int
             if prunable and x * math.exp(-rate * idle_hours) < PRUNE_THRESHOLD:
                 state.remove()
             return
-        for f in frames:
-            for ts, c in f.sort_values("ts")[["ts", "confidence"]].itertuples(index=False):
-                if x is None:
-                    x, last = min(1.0, max(0.0, 0.8 if c is None or math.isnan(c) else c)), ts
-                else:
-                    hours = max(0, int((ts - last).total_seconds())) / 3600
-                    x, last = min(1.0, x * math.exp(-rate * hours) + gain), max(ts, last)
-                uses += 1
+        # two numbers an observation, of one batch: all frames at once, since an order within each is none of the whole
+        rows = pd.concat([f[["ts", "confidence"]] for f in frames]).sort_values(["ts", "confidence"], kind="stable")
+        for ts, c in rows.itertuples(index=False):
+            if x is None:
+                x, last = min(1.0, max(0.0, 0.8 if c is None or math.isnan(c) else c)), ts
+            else:
+                hours = max(0, int((ts - last).total_seconds())) / 3600
+                x, last = min(1.0, x * math.exp(-rate * hours) + gain), max(ts, last)
+            uses += 1
         state.update((x, last, uses))
         state.setTimeoutTimestamp(max(int(pd.Timestamp(last).timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"key": [key], "channel": [channel], "intensity": [x], "last_touch": [last], "uses": [uses]})
@@ -51,12 +54,16 @@ def reinforce_stream(observed: DataFrame, late: str = "30 days", idle_hours: int
     return timed.groupBy("key", "channel").applyInPandasWithState(update, EDGE_OUT, EDGE_STATE, "update", "EventTimeTimeout")
 
 
-def watch(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of files as they appear, of the known extensions; each path once."""
+def watch(spark: SparkSession, folder: str, forget: str = "7 days") -> DataFrame:
+    """(path, text) of files as they appear, of the known extensions and up to ``MOST_BYTES``.
+
+    A path counts once; it leaves the state when files are ``forget`` younger than it.
+    """
     rows = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(checked_path(folder))
-    named = rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    named = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
     known = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*EXTENSIONS)
-    return named.filter(known & (F.octet_length("text") <= MOST_BYTES)).dropDuplicates(["path"])
+    kept = named.filter(known & (F.octet_length("text") <= MOST_BYTES)).withWatermark("modified", forget)
+    return kept.dropDuplicatesWithinWatermark(["path"]).select("path", "text")
 
 
 def ingest_watched(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, DataFrame], None], source: str = "watch"):
