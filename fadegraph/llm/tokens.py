@@ -82,10 +82,12 @@ def dictionary(pieces: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _pieces(docs: DataFrame, text: str) -> DataFrame:
-    """One row per pre-token, and one without word for texts that have none; _key tells documents apart."""
-    return docs.select(
-        "*", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("_key"), F.posexplode_outer(pre_tokens(F.col(text))).alias("pos", "word")
-    ).drop(text)
+    """One row per pre-token, and one without word for texts that have none; _key tells documents apart.
+
+    Texts are cut once: their words are written to the shared folder, a row a document, and read from there.
+    """
+    cut = docs.select("*", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("_key"), pre_tokens(F.col(text)).alias("_words")).drop(text)
+    return materialise(cut, "pieces").select("*", F.posexplode_outer("_words").alias("pos", "word")).drop("_words")
 
 
 def _resolved(docs: DataFrame, text: str, path: str | None, value: Column) -> DataFrame:
