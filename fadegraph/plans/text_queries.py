@@ -171,7 +171,14 @@ def session_windows_events(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.col("start").cast("string").alias("start"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (
+  SELECT concat_ws('>', user_id, event_type) AS key, ts, least(1.0, value / 100) AS c, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, least(1.0, value / 100)) AS n FROM events
+), f AS (
+  SELECT key, ts, greatest(0.0, coalesce(c, 0.8)) AS x, n FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.key, o.ts, least(1.0, x * exp(-0.05 * greatest(0, date_sub('second', f.ts, o.ts)) / 3600.0) + 0.1), o.n FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1
+), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS rn FROM f)
+SELECT key, 'episodic' AS channel, round(x, 6) AS intensity, n AS uses FROM l WHERE rn = 1""")
 def stream_reinforce(spark: SparkSession, d: str) -> DataFrame:
     """Users' edges after their events streamed through the stateful reinforcement."""
     out = scratch_path(spark, "stream")
