@@ -4,12 +4,10 @@
 record against the rest under an informative Dirichlet prior made from the
 collection's counts (``PRIOR`` of all tokens), divided by its standard error.
 
-``top_term`` ranks a record's terms by z-score.  Where a result is defined by
-another weight, ``exact`` holds the leader against it: occurrences times
-(ln(R / (d + 1)) + 1).  The leader stands if no term of the record weighs more
-(or as much, to ``TIE``); else the heaviest term takes its place.  So the rows are
-those of the weight whatever the prior, and ``agreement`` tells how often the
-z-score alone had them.
+``top_term`` gives the term a record's result is defined by, the heaviest by
+occurrences times (ln(R / (d + 1)) + 1).  No z-score has a part in it, so it takes
+``counted`` rows, without z-scores.  ``agreement`` compares the two: in how many
+records the leader by z-score is the heaviest term.
 
 Records are read and their terms counted once, into a table of (record, term,
 count) in the shared folder; term statistics are combined on the map side and
@@ -47,24 +45,31 @@ def records(df: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(recs: DataFrame) -> DataFrame:
-    """(rec_id, size, term, tf) of the terms of each record; size counts all its terms."""
+def term_counts(recs: DataFrame, *of_record: str) -> DataFrame:
+    """(rec_id, term, tf) of the terms of each record; with "size" also the number of all its terms."""
     clean = F.filter(F.transform("tokens", term), lambda t: t != "")
-    return recs.select("rec_id", clean.alias("t")).select("rec_id", F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("rec_id", "size", "term").agg(F.count("*").alias("tf"))
+    return recs.select("rec_id", clean.alias("t")).select("rec_id", F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("rec_id", *of_record, "term").agg(F.count("*").alias("tf"))
 
 
-def scores(df: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """(rec_id, term, tf, d, records, z) for every term of every record.
+def counted(df: DataFrame, *of_record: str) -> DataFrame:
+    """(rec_id, term, tf, d, c, n, records) for every term of every record, and what ``of_record`` names.
 
-    ``prior`` is the Dirichlet prior's total mass as a share of all tokens, shared out by the collection's counts.
+    d records hold the term, c times in all; n is the number of all terms of all records.
     """
-    recs = records(df)
-    tf = materialise(term_counts(recs), "terms")
+    tf = materialise(term_counts(records(df), *of_record), "terms")
     stats = tf.groupBy("term").agg(F.count("*").alias("d"), F.sum("tf").alias("c"))
     hot = F.broadcast(stats.filter(F.octet_length("term") <= HOT_BYTES).orderBy(F.desc("d"), "term").limit(HOT))
     joined = tf.join(hot, "term").unionByName(tf.join(hot.select("term"), "term", "left_anti").join(stats, "term"))
     n = tf.agg(F.sum("tf").alias("n")).scalar()
-    rows = joined.withColumns({"n": n, "records": df.agg(F.count_distinct("rec_id")).scalar()})
+    return joined.withColumns({"n": n, "records": df.agg(F.count_distinct("rec_id")).scalar()})
+
+
+def scores(df: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(rec_id, term, tf, d, records, z) for every term of every record.
+
+    ``prior`` is the Dirichlet prior's total mass as a share of all tokens, shared out by the collection's counts.
+    """
+    rows = counted(df, "size")
     mass = F.lit(prior) * F.col("n")
     a = F.lit(prior) * F.col("c")
     here, rest = F.col("tf") + a, F.col("c") - F.col("tf") + a
@@ -78,21 +83,20 @@ def weight() -> Column:
     return F.col("tf") * (F.ln(F.col("records") / (F.col("d") + 1)) + 1)
 
 
-def top_term(scored: DataFrame, exact: bool = True) -> DataFrame:
-    """(rec_id, term, agreed): the leading term of each record by z-score, held against the exact weight.
+def top_term(rows: DataFrame, *also: Column) -> DataFrame:
+    """(rec_id, term): the heaviest term of each record; one whose two heaviest terms weigh the same gives none.
 
-    With ``exact`` a record whose two heaviest terms weigh the same gives none; agreed tells whether the leader stood.
+    ``also`` are further aggregates over a record's terms, kept as columns.
     """
-    lead = F.max(F.struct("z", "term"))["term"].alias("lead")
-    if not exact:
-        return scored.groupBy("rec_id").agg(lead).select("rec_id", F.col("lead").alias("term"), F.lit(True).alias("agreed"))
     # a record came in one row, so its terms fit one
     heavy = F.sort_array(F.collect_list(F.struct(weight().alias("w"), "term")), asc=False)
-    best = scored.groupBy("rec_id").agg(lead, F.slice(heavy, 1, 2).alias("two"))
+    best = rows.groupBy("rec_id").agg(F.slice(heavy, 1, 2).alias("two"), *also)
     first, second = F.col("two")[0], F.get("two", F.lit(1))
-    return best.filter(second.isNull() | (first["w"] - second["w"] > TIE)).select("rec_id", first["term"].alias("term"), (F.col("lead") == first["term"]).alias("agreed"))
+    clear = best.filter(second.isNull() | (first["w"] - second["w"] > TIE))
+    return clear.withColumn("term", first["term"]).drop("two")
 
 
-def agreement(top: DataFrame) -> DataFrame:
-    """(records, agreed): how many records have a leading term, and in how many the z-score alone had found it."""
-    return top.agg(F.count("*").alias("records"), F.count_if("agreed").alias("agreed"))
+def agreement(scored: DataFrame) -> DataFrame:
+    """(records, agreed): how many records have a heaviest term, and in how many the leader by z-score is that term."""
+    leader = F.max(F.struct("z", "term"))["term"].alias("leader")
+    return top_term(scored, leader).agg(F.count("*").alias("records"), F.count_if(F.col("leader") == F.col("term")).alias("agreed"))

@@ -104,8 +104,8 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most characteristic term of each record: the leader by z-score, held against the weight asked for."""
-    return distinctive.top_term(distinctive.scores(table(spark, sf_dir, "hdc_records"))).select("rec_id", "term")
+    """The term of highest weight of each record: occurrences times (ln(R / (d + 1)) + 1)."""
+    return distinctive.top_term(distinctive.counted(table(spark, sf_dir, "hdc_records"))).select("rec_id", "term")
 
 
 @query
@@ -116,8 +116,8 @@ def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many records the z-score alone has the term of p7_found."""
-    return distinctive.agreement(distinctive.top_term(distinctive.scores(table(spark, sf_dir, "hdc_records"))))
+    """In how many records the leader by z-score is the term of p7_found."""
+    return distinctive.agreement(distinctive.scores(table(spark, sf_dir, "hdc_records")))
 
 
 @query

@@ -213,6 +213,26 @@ def test_distinctive(spark):
     assert distinctive.scores(df.limit(0)).count() == 0
 
 
+def test_top_term_needs_no_z_score(spark, monkeypatch, tmp_path):
+    from fadegraph.llm.queries import QUERIES
+
+    # in record 1 x is in fewer records, so the heaviest; y has the higher z-score, as record 2 holds x fifty times
+    rows = [(1, ["x", "y"]), (2, ["x"] * 50), (3, ["y"]), (4, ["Y "]), (4, ["y"]), (5, ["p", "q"]), (6, None), (None, ["x"])]
+    df = spark.createDataFrame([(i, None, t) for i, t in rows], "rec_id bigint, trained_at timestamp_ntz, tokens array<string>")
+    df.write.parquet(f"{tmp_path}/hdc_records.parquet")
+    want = [(1, "x"), (2, "x"), (3, "y"), (4, "y")]
+    z = {(r.rec_id, r.term): r.z for r in distinctive.scores(df).collect()}
+    assert z[1, "y"] > z[1, "x"]
+    agreed = QUERIES["p7_agreement"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in agreed] == [(4, 3)]  # in p7_agreement the z-score counts
+    monkeypatch.setattr(distinctive, "scores", None)  # p7_found must do without
+    found = QUERIES["p7_found"](spark, str(tmp_path))
+    assert found.columns == ["rec_id", "term"] and sorted(map(tuple, found.collect())) == want
+    rare = distinctive.counted(df)
+    assert "size" not in rare.columns  # only the z-score asks for it
+    assert {tuple(r) for r in rare.filter("term = 'x'").select("rec_id", "tf", "d", "c", "n", "records").collect()} == {(1, 1, 2, 51, 56, 6), (2, 50, 2, 51, 56, 6)}
+
+
 # -- 8 --------------------------------------------------------------------------------------------
 
 TEXTS = ["", None, "   ", " a  b\n\n c", "I'm don't we'LL", "héé 日本  x y", "🙂🙂 tail ", "x" * 3000, "a\tb\r\n", "123 456abc", "\u0085​﻿z", "<|endoftext|>", " \n \n"]
