@@ -4,15 +4,32 @@ A token's base vector has ``nonzero`` positions derived from md5, so any engine
 can rebuild it.  Context vectors sum the base vectors of neighbours within a
 window, weighted by idf; neighbour pairs are counted first (map-side), so each
 pair is expanded once however often it occurs.
+
+A pair is expanded only where its token is summed: the draws of a token are
+packed in one value (two bytes a draw), joined to the pairs by a merge (sizes
+guessed from the files are far too small here, and a broadcast of all draws kills
+the driver), and the pairs of a token are summed in the order they are read into
+one array of ``dims`` places.  Of tokens with at least one in ``HOT`` of all
+document frequencies, at most ``HOT`` of them, no draws are sent; they are drawn anew in
+each task.
 """
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from fadegraph.functions import exprs
 
+#: Tokens without sent draws at most; codes expanded, and bytes of vectors given out, at a time.
+HOT, BLOCK, BYTES = 2_048, 1_000_000, 4_000_000
+
 
 def token_lists(sentences: DataFrame, sent_id: str, text: str) -> DataFrame:
     """(sent, tokens) of texts."""
@@ -48,23 +65,134 @@ def neighbour_counts(sents: DataFrame, window: int = 5) -> DataFrame:
     return t.select("token", F.explode(F.concat(near, after)).alias("other")).groupBy("token", "other").agg(F.count("*").alias("n"))
 
 
-def context_vectors(sents: DataFrame, window: int = 5, dims: int = 10_000, nonzero: int | None = None) -> DataFrame:
-    """(token, dim, val) of length one: idf-weighted sums of neighbours' base vectors.
+def _kind(dims: int) -> type:
+    return np.int16 if dims < 32_767 else np.int32
+
+
+def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, BLOCK // n)
+    return (b.slice(i, step) for b in batches for i in range(0, len(b), step))
+
+
+def _drawn(tokens: list[bytes], dims: int, n: int) -> np.ndarray:
+    """A row of n codes for each token, the same draws as ``base_vectors``: place + 1 with the value's sign, 0 for a place that is drawn again later."""
+    if not tokens:
+        return np.zeros((0, n), _kind(dims))
+    ends = [b":%d" % i for i in range(n)]
+    raw = np.frombuffer(b"".join(hashlib.md5(t + e, usedforsecurity=False).digest() for t in tokens for e in ends), np.uint8).reshape(len(tokens), n, 16)
+    place = np.ascontiguousarray(raw[:, :, :4]).view(">u4")[:, :, 0].astype(np.int64) % dims
+    code = np.where(raw[:, :, 4] % 2 == 0, place + 1, -place - 1).astype(_kind(dims))
+    order = np.argsort(place, axis=1, kind="stable")
+    ranked = np.take_along_axis(place, order, 1)
+    row, at = np.nonzero(ranked[:, :-1] == ranked[:, 1:])
+    code[row, order[row, at]] = 0
+    return code
+
+
+def _with_draws(df: DataFrame, dims: int, n: int) -> DataFrame:
+    """``df`` with the packed draws of its column other; null where hot."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, n):
+            hot, names = b.column("hot").to_pylist(), b.column("other").cast(pa.binary()).to_pylist()
+            codes = iter(_drawn([x for x, h in zip(names, hot) if not h], dims, n))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if h else next(codes).tobytes() for h in hot], pa.binary())], [*b.schema.names, "draws"])
+
+    return df.mapInArrow(add, T.StructType([*df.schema.fields, T.StructField("draws", T.BinaryType())]))
+
+
+def _weighted(sents: DataFrame, window: int, dims: int, n: int, only: str | None = None) -> DataFrame:
+    """(token, w, word, draws): each token's neighbours with their weight, and each token itself with a null weight; draws, or the word to draw for. ``only``: of that token alone."""
+    frequency = document_frequency(sents).filter("token IS NOT NULL")
+    hot = F.col("df") * HOT >= frequency.agg(F.sum("df")).scalar()
+    known = frequency.select(F.col("token").alias("other"), "idf", (hot if only is None else F.lit(False)).alias("hot"))
+    own = frequency.select("token", F.col("token").alias("other"), F.lit(None).cast("bigint").alias("n"))
+    pairs = neighbour_counts(sents, window).filter("token IS NOT NULL AND other IS NOT NULL").unionByName(own)
+    if only is None:
+        rows = pairs.join(_with_draws(known, dims, n).hint("merge"), "other")
+    else:
+        rows = _with_draws(pairs.filter(F.col("token") == only).join(known.hint("merge"), "other"), dims, n)
+    return rows.select("token", (F.col("n") * F.col("idf")).alias("w"), F.when(F.col("draws").isNull(), F.col("other")).alias("word"), "draws")
+
+
+def _summed(batches: Iterator[pa.RecordBatch], dims: int, n: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(token, its places, the values there), of length one, of rows of ``_weighted`` that come sorted by token."""
+    hot: dict[bytes, np.ndarray] = {}
+    name, total, met, base, more = None, np.zeros(dims), np.zeros(dims, np.int64), None, False
+
+    def ended() -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        if name is None:
+            return
+        if more:
+            places = np.flatnonzero(met)
+            values = total[places]
+        else:
+            kept = base[base != 0].astype(np.int64)
+            places, values = np.abs(kept) - 1, np.sign(kept).astype(float)
+        norm = np.sqrt(values @ values)
+        if norm > 0:
+            yield name, places, values / norm
+
+    for b in _slices(batches, n):
+        tokens, draws = b.column("token").cast(pa.binary()).dictionary_encode(), b.column("draws")
+        words = b.column("word").cast(pa.binary()).filter(draws.is_null()).to_pylist()
+        new = [x for x in dict.fromkeys(words) if x not in hot]
+        hot.update(zip(new, _drawn(new, dims, n)))
+        codes = np.zeros((len(b), n), _kind(dims))
+        bare = draws.is_null().to_numpy(zero_copy_only=False)
+        codes[~bare] = np.frombuffer(b"".join(draws.drop_null().to_pylist()), codes.dtype).reshape(-1, n)
+        if words:
+            codes[bare] = np.stack([hot[x] for x in words])
+        w = b.column("w").to_numpy(zero_copy_only=False).astype(float)
+        own = np.isnan(w)
+        places, values = np.abs(codes).astype(np.int64), np.sign(codes) * np.where(own, 0.0, w)[:, None]
+        places[own] = 0
+        begins = np.searchsorted(tokens.indices.to_numpy(), np.arange(len(tokens.dictionary) + 1))
+        for k, token in enumerate(tokens.dictionary.to_pylist()):
+            if token != name:
+                yield from ended()
+                name, total, met, base, more = token, np.zeros(dims), np.zeros(dims, np.int64), None, False
+            i, j = begins[k], begins[k + 1]
+            mine = np.flatnonzero(own[i:j])
+            if len(mine):
+                base = codes[i + mine[0]].copy()
+            if len(mine) < j - i:
+                more, at = True, places[i:j].ravel()
+                total += np.bincount(at, values[i:j].ravel(), dims + 1)[1:]
+                met += np.bincount(at, None, dims + 1)[1:]
+    yield from ended()
+
+
+def _by_token(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token").sortWithinPartitions("token")
+
+
+def context_vectors(sents: DataFrame, window: int = 5, dims: int = 10_000, nonzero: int | None = None, only: str | None = None) -> DataFrame:
+    """(token, dim, val) of length one: idf-weighted sums of neighbours' base vectors; with ``only``, of that token.
 
     A token that never has a neighbour keeps its base vector.
     """
-    idf = document_frequency(sents)
-    base = base_vectors(idf.select("token"), dims, nonzero)
-    pairs = neighbour_counts(sents, window)
-    summed = (
-        pairs.join(idf.select(F.col("token").alias("other"), "idf"), "other")
-        .join(base.select(F.col("token").alias("other"), "dim", "val"), "other")
-        .groupBy("token", "dim").agg(F.sum(F.col("n") * F.col("idf") * F.col("val")).alias("val"))
-    )
-    alone = base.join(pairs.select("token").distinct(), "token", "left_anti")
-    both = summed.unionByName(alone)
-    norm = both.groupBy("token").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("norm"))
-    return both.join(norm, "token").filter("norm > 0").select("token", "dim", (F.col("val") / F.col("norm")).alias("val"))
+    n = nonzero or max(1, dims // 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            names, places, values = zip(*held)
+            each = pa.array(np.repeat(np.arange(len(names), dtype=np.int32), list(map(len, places))))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(each).view(pa.string()), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(values))], ["token", "dim", "val"])
+
+        held, size = [], 0
+        for name, at, values in _summed(batches, dims, n):
+            step = max(1, BYTES // (len(name) + 16))  # a long token stands in each of its rows
+            for i in range(0, len(at), step):
+                held.append((name, at[i : i + step], values[i : i + step]))
+                size += len(held[-1][1]) * (len(name) + 16)
+                if size >= BYTES:
+                    yield batch()
+                    held, size = [], 0
+        if held:
+            yield batch()
+
+    return _by_token(_weighted(sents, window, dims, n, only)).mapInArrow(run, "token string, dim int, val double")
 
 
 def most_similar(vectors: DataFrame, token: str, k: int = 10) -> DataFrame:

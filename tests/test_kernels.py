@@ -208,3 +208,62 @@ def test_context_vectors_of_full_size(spark, monkeypatch):
     score = {w: sum(x * want["membrane"].get(dim, 0.0) for dim, x in want[w].items()) for w in words}
     near = {r.token: r.score for r in search_queries.hdc_most_similar(spark, "").collect()}
     assert near == {w: pytest.approx(score[w], abs=2e-6) for w in near} and near.keys() >= {w for w in words - {"membrane"} if abs(score[w]) > 1e-6}
+
+
+def _written(spark, sentences, path):
+    """A written table of records, whose size the optimiser can only guess."""
+    from datetime import datetime
+
+    rows = [(i, datetime(2025, 1, 1), s) for i, s in enumerate(sentences)]
+    spark.createDataFrame(rows, "rec_id bigint, trained_at timestamp, tokens array<string>").coalesce(1).write.parquet(f"{path}/hdc_records.parquet")
+
+
+SENTENCES = [["membrane", "ion", "pump", None, "membrane"], ["ion", "channel", "gate", "membrane"], ["lonely"], ["gate", "pump", "ion"], ["caf\u00e9", "\u6f22\u5b57", "gate"], ["far", "away"], []]
+
+
+def test_context_vectors_broadcast_no_draws(spark, tmp_path, monkeypatch):
+    from fadegraph.operators import hdc
+    from fadegraph.plans import search_queries
+
+    _written(spark, SENTENCES, tmp_path)
+    assert "Broadcast" not in search_queries.hdc_context_sparse(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    got = []
+    for most in (1, 2048):  # draws sent, draws made anew
+        monkeypatch.setattr(hdc, "HOT", most)
+        got.append(sorted(map(tuple, search_queries.hdc_context_sparse(spark, str(tmp_path)).collect())))
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {w for s in SENTENCES for w in s if w}
+    s = search_queries._records(spark, str(tmp_path))
+    base = {(r.token, r.dim): r.val for r in hdc.base_vectors(hdc.document_frequency(s).select("token")).collect()}
+    assert {(t, d): v for t, d, v in got[0] if t == "lonely"} == {k: pytest.approx(v / math.sqrt(sum(k[0] == "lonely" for k in base)), abs=1e-6) for k, v in base.items() if k[0] == "lonely"}
+    whole = {tuple(r) for r in hdc.context_vectors(s, 5).filter("token = 'membrane'").collect()}
+    assert whole == {tuple(r) for r in hdc.context_vectors(s, 5, only="membrane").collect()} and whole
+    assert hdc.context_vectors(s.limit(0), 5).collect() == []
+    long = spark.createDataFrame([(1, ["y" * 200_000, "ion"])], "sent bigint, tokens array<string>")  # many batches of one token
+    assert hdc.context_vectors(long, 5).groupBy(F.length("token")).count().orderBy("count").count() == 2
+
+
+@pytest.mark.parametrize("dims, n", [(10_000, 100), (50, 40), (40_000, 3)])
+def test_draws_and_sums_cut_anywhere(spark, monkeypatch, dims, n):
+    import numpy as np
+    import pyarrow as pa
+    from fadegraph.operators import hdc
+
+    words = ["ab", "caf\u00e9", "\u6f22\u5b57", "x" * 300]
+    want = {(r.token, r.dim): r.val for r in hdc.base_vectors(spark.createDataFrame([(w,) for w in words], "token string"), dims, n).collect()}
+    codes = dict(zip(words, hdc._drawn([w.encode() for w in words], dims, n)))
+    assert {(w, abs(int(c)) - 1): float(np.sign(c)) for w in words for c in codes[w] if c} == want and sum(int((c != 0).sum()) for c in codes.values()) == len(want)
+    rows = [("ab", None, None, "ab"), ("ab", 2.0, "x" * 300, None), ("ab", 0.5, None, "caf\u00e9"), ("ab", 3.0, None, "ab"), ("caf\u00e9", None, "caf\u00e9", None), ("zz", 1.5, "ab", None), ("zz", None, None, "ab")]
+    b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.string()), pa.array([codes[r[3]].tobytes() if r[3] else None for r in rows], pa.binary())], ["token", "w", "word", "draws"])
+    parts = {"ab": [(2.0, "x" * 300), (0.5, "caf\u00e9"), (3.0, "ab")], "caf\u00e9": [(1.0, "caf\u00e9")], "zz": [(1.5, "ab")]}
+    for block, cuts in ((1_000_000, [0, 7]), (n, [0, 7]), (1_000_000, [0, 0, 1, 3, 6, 7])):
+        monkeypatch.setattr(hdc, "BLOCK", block)
+        got = {t.decode(): dict(zip(p.tolist(), v.tolist())) for t, p, v in hdc._summed((b.slice(i, j - i) for i, j in zip(cuts, cuts[1:])), dims, n)}
+        assert list(got) == list(parts)
+        for t, of in parts.items():
+            v = {}
+            for w, x in of:
+                for (y, d), sign in want.items():
+                    if x == y:
+                        v[d] = v.get(d, 0.0) + w * sign
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            assert got[t] == {d: pytest.approx(x / norm, abs=1e-12) for d, x in v.items()}
