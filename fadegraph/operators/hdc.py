@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,23 @@ def context_vectors(sents: DataFrame, window: int = 5, dims: int = 10_000, nonze
     return _by_token(_weighted(sents, window, dims, n, only)).mapInArrow(run, "token string, dim int, val double")
 
 
+def most_similar_contexts(sents: DataFrame, token: str, k: int = 10, window: int = 5, dims: int = 10_000, nonzero: int | None = None) -> DataFrame:
+    """``most_similar`` over ``context_vectors``: each vector is compared where it is summed. The one token's vector, at most ``dims`` rows, comes to the driver first."""
+    n = nonzero or max(1, dims // 100)
+    one = context_vectors(sents, window, dims, nonzero, token).select("dim", "val").toArrow()
+    places, q = one["dim"].to_numpy(), np.zeros(dims)
+    q[places] = one["val"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(dims, bool)
+        there[places] = True
+        near = ((name, float(values @ q[at])) for name, at, values in _summed(batches, dims, n) if there[at].any())
+        while some := list(islice(near, 1_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.binary()).view(pa.string()), pa.array([x for _, x in some])], ["token", "score"])
+
+    return _by_token(_weighted(sents, window, dims, n)).mapInArrow(run, "token string, score double").filter(F.col("token") != token).orderBy(F.desc(F.round("score", 9)), "token").limit(k)
+
+
 def most_similar(vectors: DataFrame, token: str, k: int = 10) -> DataFrame:
     """(token, score): sparse cosine with unit vectors, the token itself left out."""
     q = vectors.filter(F.col("token") == token).select("dim", F.col("val").alias("q"))

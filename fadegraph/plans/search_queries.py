@@ -169,7 +169,7 @@ def hdc_context_sparse(spark: SparkSession, d: str) -> DataFrame:
 GROUP BY c.token ORDER BY round(sum(c.val * q.val), 9) DESC, c.token LIMIT 20""")
 def hdc_most_similar(spark: SparkSession, d: str) -> DataFrame:
     """Tokens whose contexts are most like that of a frequent one."""
-    return hdc.most_similar(hdc.context_vectors(_records(spark, d), 5), "membrane", 20).withColumn("score", _r("score"))
+    return hdc.most_similar_contexts(_records(spark, d), "membrane", 20, 5).withColumn("score", _r("score"))
 
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))

@@ -267,3 +267,20 @@ def test_draws_and_sums_cut_anywhere(spark, monkeypatch, dims, n):
                         v[d] = v.get(d, 0.0) + w * sign
             norm = math.sqrt(sum(x * x for x in v.values()))
             assert got[t] == {d: pytest.approx(x / norm, abs=1e-12) for d, x in v.items()}
+
+
+def test_most_similar_makes_no_rows_of_places(spark, tmp_path):
+    from fadegraph.operators import hdc
+    from fadegraph.plans import search_queries
+
+    _written(spark, SENTENCES, tmp_path)
+    df = search_queries.hdc_most_similar(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "dim#" not in plan
+    s = search_queries._records(spark, str(tmp_path))
+    for token in ("membrane", "lonely", "absent"):
+        want = hdc.most_similar(hdc.context_vectors(s, 5), token, 4).collect()
+        got = hdc.most_similar_contexts(s, token, 4).collect()
+        assert [r.token for r in got] == [r.token for r in want] and [r.score for r in got] == pytest.approx([r.score for r in want], abs=1e-12)
+        assert (not got) == (token == "absent") or token == "lonely"
+    assert len(df.collect()) > 4
